@@ -31,3 +31,17 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), meta=["n_chars"])
+
+
+@_query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
