@@ -45,3 +45,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
     return identify(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"))
