@@ -52,3 +52,29 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digest, reconstruct, render
+
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], rows.schema)
+    return digest(render(reconstruct(rows.unionByName(more))))
+
+
+def _oracles() -> dict[str, str]:
+    from . import chat, decontaminate
+
+    return {"op4_decontamination": decontaminate.ORACLE, "op7_chat": chat.ORACLE}
+
+
+ORACLES |= _oracles()
