@@ -78,3 +78,10 @@ def _oracles() -> dict[str, str]:
 
 
 ORACLES |= _oracles()
+
+
+@_query
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import filter_urls
+
+    return filter_urls(_table(spark, sf_dir, "pages"))
