@@ -85,3 +85,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urlfilter import filter_urls
 
     return filter_urls(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
