@@ -92,3 +92,11 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embeddings import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import dedup_substrings
+
+    out = dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumnsRenamed({"_removed": "removed", "_removed_words": "removed_words"})
