@@ -1,23 +1,65 @@
-"""The corpus pipeline: quality filter, near-dedup, substring dedup, decontamination, packing."""
+"""The corpus pipeline: quality filter, near-dedup, substring dedup, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewire.llm.common import stash
+from tidewire.llm.decontaminate import decontaminate
+from tidewire.llm.packing import pack_documents
+from tidewire.llm.quality import quality_filter
 from tidewire.llm.simhash import simhash_dedup
+from tidewire.llm.substrings import dedup_substrings
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
     return simhash_dedup(docs)
 
 
-STAGES = [("simhash", simhash_stage)]
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that repeat; n_chars follows the text where it changes."""
+    out = dedup_substrings(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("_removed_words") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark does not contaminate."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its place in a sequence."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("simhash", simhash_stage),
+    ("substrings", substring_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+#: The classifier, the banding and the packing are not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

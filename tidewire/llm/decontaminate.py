@@ -24,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, BROADCAST_ROWS, small, stash
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, maybe_broadcast, small, stash
 
 WINDOW = 13
 #: Everything that is no word character: ASCII besides digits and small letters.
@@ -84,6 +84,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
 
     contaminated: a word is hit and at least one in ``share`` words is.
     """
+    return _contamination(docs, benchmark, size, share, bound).drop("h")
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: int = 20, bound: int = BROADCAST_ROWS) -> DataFrame:
     win = stash(windows(benchmark, size), "windows")
     hits = stash(occurrences(docs, win, bound).distinct(), "hits")
     by = ["doc_id", "h"]
@@ -97,6 +101,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         "doc_id",
+        "h",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
@@ -106,9 +111,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones (by id)."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without the contaminated ones."""
+    bad = stash(_contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct(), "bad")
+    return docs.join(maybe_broadcast(bad), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
 
 
 ORACLE = r"""

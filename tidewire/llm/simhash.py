@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stash
+from .common import components, maybe_broadcast, stash
+from .textmap import map_texts
 
 BITS = 64
 RADIUS = 1
@@ -61,16 +62,15 @@ def fingerprint(text: str | None, seed: int = 42, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, fp long): the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep..., fp long): the fingerprint as a signed 64-bit number."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            fps = np.array([fingerprint(t) for t in pdf["t"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"d": pdf["d"], "fp": fps})
+    def run(texts: list) -> dict[str, list]:
+        return {"fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("d"), F.col(text).alias("t")).mapInPandas(run, f"d {kind}, fp bigint").withColumnRenamed("d", "doc_id")
+    some = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text).alias("text"))
+    schema = ", ".join(f"{c} {some.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
+    return map_texts(some, run, f"{schema}, fp bigint")
 
 
 @lru_cache
@@ -158,7 +158,24 @@ def simhash_components(docs: DataFrame, threshold: int = 2, text: str = "text",
 
 
 def simhash_dedup(docs: DataFrame, threshold: int = 2, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with one row of each group kept: that of the smallest id (ids are not null and unique
-    up to repeated rows, of which one stays)."""
-    comp = simhash_components(docs, threshold, text, id_col).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(comp, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    """docs with one row of each group kept: that of the smallest id (null ids last, then by text).
+
+    A repeated row, with the id and the text of the one that stays, goes as well.
+    """
+    key = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    each = stash(fingerprints(key, "t", "doc_id", keep=("h",)), "fp")
+    first = stash(each.select("fp").distinct(), "first")
+    comp = maybe_broadcast(stash(components(links(first, threshold)).withColumnsRenamed({"node": "fp"}), "comp"))
+    each = each.join(comp, "fp", "left").select("doc_id", "h", F.coalesce("component", "fp").alias("c"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
+    rows = each.groupBy("c", "doc_id", "h").agg(F.count("*").alias("n"))
+    best = rows.groupBy("c").agg(F.min(order).alias("best"), F.sum("n").alias("all")).where(F.col("all") > 1).select("c", "best")
+    marked = stash(rows.join(maybe_broadcast(stash(best, "best")), "c").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), (order == F.col("best")).alias("stays"), "n"), "marked")
+    same = F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h"))
+    left = docs.join(maybe_broadcast(marked.where("not stays").select("_d", "_h")), same, "left_anti")
+    repeated = marked.where("stays and n > 1").select("_d", "_h")
+    if repeated.isEmpty():
+        return left
+    repeated = maybe_broadcast(repeated)
+    once = left.join(repeated, same, "left_semi").withColumn("_h", F.xxhash64(text)).dropDuplicates([id_col, "_h"]).drop("_h")
+    return left.join(repeated, same, "left_anti").unionByName(once)
