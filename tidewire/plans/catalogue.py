@@ -1,10 +1,532 @@
-"""The driver's query catalogue."""
+"""The driver's query catalogue: each operator over derived tables, with DuckDB SQL for it.
+
+Events are made of ``feed``: its event types stand for operations, users for
+keys, so that keys recur and versions tie. Ties are cut by feed_id.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import aead, keys
+from ..operators import apply, changefeed, jobs, outbox, transform
+from ..sources import cdc, polling, snapshot
+from ..spec import Mode, TableSpec, TransformerSpec
+from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+REGION = "EUROPE"
+KEY = b"0123456789abcdef0123456789abcdef"
+SINCE = datetime(1995, 6, 1)
+SINCE_US = 801964800000000
+NOW = datetime(2024, 1, 20)
+
+
+def _query(sql: str | None) -> Callable[[Callable[[SparkSession, str], DataFrame]], Callable[[SparkSession, str], DataFrame]]:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- polling and snapshots
+
+_PAGE = "o_orderkey, o_custkey, o_totalprice, epoch_us(o_orderdate) AS version"
+
+
+def _page(spark: SparkSession, d: str, cursor: polling.Cursor, limit: int = polling.PAGE) -> DataFrame:
+    return polling.page(T.payments(spark, d), T.PAYMENTS, REGION, cursor, limit).select("o_orderkey", "o_custkey", "o_totalprice", F.col("_version").alias("version"))
+
+
+@_query(f"{T.sql('payments')} SELECT coalesce(max(epoch_us(o_orderdate)), 0)::BIGINT AS version FROM payments WHERE owner = '{REGION}'")
+def poll_max_version(spark: SparkSession, d: str) -> DataFrame:
+    return polling.high_water(T.payments(spark, d), T.PAYMENTS, REGION)
+
+
+@_query(f"{T.sql('payments')} SELECT {_PAGE} FROM payments WHERE owner = '{REGION}' ORDER BY version, o_orderkey LIMIT 1000")
+def poll_first_page(spark: SparkSession, d: str) -> DataFrame:
+    return _page(spark, d, polling.Cursor())
+
+
+@_query(f"{T.sql('payments')} SELECT {_PAGE} FROM payments WHERE owner = '{REGION}' AND epoch_us(o_orderdate) > {SINCE_US} ORDER BY version, o_orderkey LIMIT 1000")
+def poll_next_page(spark: SparkSession, d: str) -> DataFrame:
+    return _page(spark, d, polling.Cursor(SINCE_US))
+
+
+@_query(f"{T.sql('payments')} SELECT {_PAGE} FROM payments WHERE owner = '{REGION}' AND (epoch_us(o_orderdate), o_orderkey) > ({SINCE_US}, 700) ORDER BY version, o_orderkey LIMIT 300")
+def poll_tie_page(spark: SparkSession, d: str) -> DataFrame:
+    return _page(spark, d, polling.Cursor(SINCE_US, (700,)), 300)
+
+
+@_query(f"{T.sql('users')} SELECT c_custkey, c_name, owner FROM users WHERE owner = '{REGION}' ORDER BY c_custkey LIMIT 100")
+def snapshot_chunk(spark: SparkSession, d: str) -> DataFrame:
+    return snapshot.chunk(T.users(spark, d), T.USERS, REGION, limit=100).select("c_custkey", "c_name", "owner")
+
+
+@_query(f"{T.sql('users')} SELECT c_custkey, c_name, owner FROM users WHERE owner = '{REGION}' AND c_custkey > 77 ORDER BY c_custkey LIMIT 100")
+def snapshot_resume(spark: SparkSession, d: str) -> DataFrame:
+    return snapshot.chunk(T.users(spark, d), T.USERS, REGION, (77,), 100).select("c_custkey", "c_name", "owner")
+
+
+@_query(f"{T.sql('payments')} SELECT o_orderkey, o_totalprice, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 250 + 1)::BIGINT AS chunk_no FROM payments WHERE owner = '{REGION}'")
+def snapshot_chunks_all(spark: SparkSession, d: str) -> DataFrame:
+    return snapshot.chunks(T.payments(spark, d), T.PAYMENTS, REGION, 250).select("o_orderkey", "o_totalprice", "chunk_no")
+
+
+@_query("SELECT conv_id, turn, role FROM conversations WHERE (conv_id, turn) > (20, 3) ORDER BY conv_id, turn LIMIT 200")
+def composite_pk_page(spark: SparkSession, d: str) -> DataFrame:
+    turns = T.read(spark, d, "conversations").withColumn("owner", F.lit(REGION))
+    return snapshot.chunk(turns, T.TURNS, REGION, (20, 3), 200).select("conv_id", "turn", "role")
+
+
+# --- event ids
+
+def _sized(x: str) -> str:
+    return f"octet_length(encode({x}))::VARCHAR || ':' || {x}"
+
+
+def _id_sql(table: str, parts: list[tuple[str, str, str]], version: str, op: str) -> str:
+    inner = "".join(f" || {_sized(repr(c))} || {_sized(repr(t))} || {_sized(v)}" for c, t, v in parts)
+    return f"sha256({_sized(repr(table))} || '{len(parts)}:'{inner} || {_sized(f'({version})::VARCHAR')} || {_sized(op)})"
+
+
+@_query(f"{T.sql('feed')} SELECT feed_id, {_id_sql('feed', [('feed_id', 'integer', 'feed_id::VARCHAR')], 'epoch_us(ts)', repr('upsert'))} AS event_id FROM feed")
+def event_ids_single(spark: SparkSession, d: str) -> DataFrame:
+    changes = T.feed(spark, d).withColumns({"_version": keys.version_of(F.col("ts")), "_op": F.lit("upsert")})
+    return changefeed.to_events(changes, T.FEED, REGION).select("feed_id", F.col("_event_id").alias("event_id"))
+
+
+@_query(f"SELECT conv_id, turn, {_id_sql('turns', [('conv_id', 'integer', 'conv_id::VARCHAR'), ('role', 'string', chr(39) + chr(34) + chr(39) + ' || role || ' + chr(39) + chr(34) + chr(39)), ('turn', 'integer', 'turn::VARCHAR')], 'turn + 1', repr('insert'))} AS event_id FROM conversations")
+def event_ids_composite(spark: SparkSession, d: str) -> DataFrame:
+    changes = T.read(spark, d, "conversations").withColumns({"_version": F.col("turn") + 1, "_op": F.lit("insert")})
+    spec = TableSpec("turns", ("conv_id", "role", "turn"), "owner")
+    return changefeed.to_events(changes, spec, REGION).select("conv_id", "turn", F.col("_event_id").alias("event_id"))
+
+
+# --- modes and origin
+
+#: What an event type stands for.
+_OPS = {"signup": "insert", "click": "update", "view": "upsert", "error": "delete", "purchase": "upsert"}
+_OP_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _OPS.items()) + " END"
+
+
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    """feed with an operation and a version that ties in groups of about 40."""
+    op = F.create_map(*[F.lit(x) for kv in _OPS.items() for x in kv])[F.col("event_type")]
+    return T.feed(spark, d).withColumns({"_op": op, "_version": F.floor((F.col("feed_id") * 7919 % 10007) / 40) + 1, "_ord": F.col("feed_id")})
+
+
+_CHANGES = f"{T.sql('feed')}, changes AS (SELECT *, {_OP_SQL} AS op, ((feed_id * 7919 % 10007) // 40 + 1)::BIGINT AS version FROM feed)"
+
+
+def _mode(name: str, mode: Mode, where: str, kind: str) -> None:
+    def broadcast(spark: SparkSession, d: str) -> DataFrame:
+        c = _changes(spark, d)
+        return c.where(changefeed.allowed(mode, F.col("_op"))).select("feed_id", F.col("_op").alias("op"))
+
+    def applied(spark: SparkSession, d: str) -> DataFrame:
+        c = _changes(spark, d)
+        blank = c.withColumn("_op", F.when(F.col("event_type") == "purchase", F.lit("")).otherwise(F.col("_op")))
+        return apply.passing(blank, mode).select("feed_id", F.col("_op").alias("op"))
+
+    f = broadcast if kind == "broadcast" else applied
+    f.__name__ = name
+    _query(f"{_CHANGES} SELECT feed_id, op FROM changes WHERE {where}")(f)
+
+
+for _kind in ("broadcast", "apply_mode"):
+    _mode(f"{_kind}_insert_only", Mode.INSERT_ONLY, "op = 'insert'", _kind)
+    _mode(f"{_kind}_upsert", Mode.UPSERT, "op <> 'delete'", _kind)
+    _mode(f"{_kind}_full_sync", Mode.FULL_SYNC, "true", _kind)
+
+
+@_query(f"{T.sql('payments')} SELECT o_orderkey, owner FROM payments WHERE CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE owner END = '{REGION}'")
+def local_origin_filter(spark: SparkSession, d: str) -> DataFrame:
+    p = T.payments(spark, d).withColumn("owner", F.when(F.col("o_orderkey") % 7 != 0, F.col("owner")))
+    return changefeed.local_origin(p, T.PAYMENTS, REGION).select("o_orderkey", "owner")
+
+
+# --- order, staleness, reduction
+
+_TARGET = TableSpec("accounts", ("user_id",), "owner")
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """changes as events of peer = owner on table accounts, keyed by user."""
+    c = _changes(spark, d).withColumn("_changed", F.when(F.col("feed_id") % 2 == 0, F.array(F.lit("value"))).otherwise(F.array(F.lit("event_type"), F.lit("value"))))
+    return changefeed.to_events(c, _TARGET, REGION).withColumn("_peer", F.col("owner"))
+
+
+def _cursors(spark: SparkSession, d: str, version: int) -> DataFrame:
+    part = F.struct(F.lit("user_id").alias("column"), F.lit("integer").alias("type"), F.lit(50).cast("bigint").alias("int_value"), F.lit(None).cast("boolean").alias("bool_value"), F.lit(None).cast("string").alias("str_value"))
+    return T.read(spark, d, "region").select(F.col("r_name").alias("peer_region"), F.lit("accounts").alias("table_name"), F.lit("e").alias("last_event_id"), F.lit(version).cast("bigint").alias("last_version"), F.array(part).alias("last_pk"))
+
+
+_ORDERED = f"{_CHANGES}, ordered AS (SELECT *, (row_number() OVER (ORDER BY owner, version, user_id, feed_id))::BIGINT AS ord FROM changes)"
+_RANKED = f"{_ORDERED}, ranked AS (SELECT *, version * 1000000 + user_id AS pos FROM ordered)"
+
+
+@_query(f"{_ORDERED} SELECT feed_id, ord FROM ordered")
+def cursor_order(spark: SparkSession, d: str) -> DataFrame:
+    return apply.cursor_order(_events(spark, d)).select("feed_id", F.col("_ord").alias("ord"))
+
+
+_STALE = f"{_CHANGES}, ranked AS (SELECT *, version * 1000000 + user_id AS pos FROM changes), run AS (SELECT *, max(pos) OVER (PARTITION BY owner ORDER BY feed_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ranked)"
+
+
+@_query(f"{_STALE} SELECT feed_id, owner, version FROM run WHERE pos > coalesce(before, 0)")
+def stale_filter(spark: SparkSession, d: str) -> DataFrame:
+    none = _cursors(spark, d, 0).where("false")
+    return apply.fresh(_events(spark, d), none, 1000).select("feed_id", "owner", F.col("_version").alias("version"))
+
+
+@_query(f"{_RANKED}, run AS (SELECT *, max(pos) OVER (PARTITION BY owner ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ranked) SELECT feed_id, owner, version FROM run WHERE pos > greatest(coalesce(before, 0), 100 * 1000000 + 50)")
+def stale_filter_with_cursor(spark: SparkSession, d: str) -> DataFrame:
+    e = apply.cursor_order(_events(spark, d))
+    return apply.fresh(e, _cursors(spark, d, 100)).select("feed_id", "owner", F.col("_version").alias("version"))
+
+
+_LAST = ", last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY owner, user_id ORDER BY feed_id DESC) AS rn FROM changes) WHERE rn = 1)"
+
+
+@_query(f"{_CHANGES}{_LAST} SELECT user_id, feed_id, op, owner FROM last")
+def dedup_last_per_pk(spark: SparkSession, d: str) -> DataFrame:
+    return apply.last_per_key(_events(spark, d), _TARGET).select("user_id", "feed_id", F.col("_op").alias("op"), "owner")
+
+
+@_query(f"{_RANKED}, top AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY pos DESC, ord) AS rn FROM ranked) SELECT owner AS peer_region, version AS last_version, user_id AS last_user, {_id_sql('accounts', [('user_id', 'integer', 'user_id::VARCHAR')], 'version', 'op')} AS last_event_id FROM top WHERE rn = 1")
+def cursor_advance(spark: SparkSession, d: str) -> DataFrame:
+    e = apply.cursor_order(_events(spark, d))
+    c = apply.final_cursors(apply.fresh(e, _cursors(spark, d, 0).where("false")))
+    return c.select("peer_region", "last_version", F.col("last_pk")[0]["int_value"].alias("last_user"), "last_event_id")
+
+
+@_query(f"{_CHANGES} SELECT 'accounts' AS table_name, arg_max(version, feed_id) AS last_version, arg_max(user_id, feed_id) AS last_user FROM changes")
+def capture_cursor(spark: SparkSession, d: str) -> DataFrame:
+    c = changefeed.latest_cursors(_events(spark, d))
+    return c.select(F.col("_table").alias("table_name"), "last_version", F.col("last_pk")[0]["int_value"].alias("last_user"))
+
+
+# --- merges: users are the target, one event a user
+
+_ACCOUNTS = TableSpec("users", ("c_custkey",), "owner")
+#: Two users in three exist; one in five of those has no owner.
+_TARGET_SQL = "target AS (SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE owner END AS owner FROM users WHERE c_custkey % 3 > 0)"
+_IN_SQL = f"incoming AS (SELECT c_custkey, c_name || '-new' AS c_name, c_acctbal + 1 AS c_acctbal, CASE c_custkey % 4 WHEN 0 THEN 'insert' WHEN 1 THEN 'upsert' WHEN 2 THEN 'update' ELSE 'delete' END AS op, CASE WHEN c_custkey % 7 = 0 THEN '{REGION}' ELSE owner END AS peer FROM users WHERE c_custkey % 11 > 2)"
+_MERGE = f"{T.sql('users')}, {_TARGET_SQL}, {_IN_SQL}"
+_JOIN = "FROM target t FULL JOIN i ON t.c_custkey = i.c_custkey"
+
+
+def _target(spark: SparkSession, d: str) -> DataFrame:
+    u = T.users(spark, d).where("c_custkey % 3 > 0")
+    return u.select("c_custkey", "c_name", "c_acctbal", F.when(F.col("c_custkey") % 5 != 0, F.col("owner")).alias("owner"))
+
+
+def _incoming(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    op = F.element_at(F.array(*[F.lit(x) for x in ("insert", "upsert", "update", "delete")]), (k % 4 + 1).cast("int"))
+    u = T.users(spark, d).where("c_custkey % 11 > 2")
+    return u.select("c_custkey", F.concat("c_name", F.lit("-new")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"), "owner", op.alias("_op"), F.when(k % 7 == 0, F.lit(REGION)).otherwise(F.col("owner")).alias("_peer"), F.when(k % 8 == 2, F.array(F.lit("c_acctbal"))).otherwise(F.array(F.lit("c_name"), F.lit("c_acctbal"))).alias("_changed"))
+
+
+def _put_sql(ops: str, replace: bool) -> str:
+    new = f"i.c_custkey IS NOT NULL AND (t.c_custkey IS NULL OR ({'true' if replace else 'false'} AND (t.owner IS NULL OR t.owner = i.peer)))"
+    return f"{_MERGE}, i AS (SELECT * FROM incoming WHERE op IN ({ops})) SELECT coalesce(t.c_custkey, i.c_custkey) AS c_custkey, CASE WHEN {new} THEN i.c_name ELSE t.c_name END AS c_name, CASE WHEN {new} THEN i.c_acctbal ELSE t.c_acctbal END AS c_acctbal, CASE WHEN {new} THEN i.peer ELSE t.owner END AS owner {_JOIN}"
+
+
+@_query(_put_sql("'insert', 'upsert'", True))
+def upsert_gated(spark: SparkSession, d: str) -> DataFrame:
+    return apply.merge(_target(spark, d), _incoming(spark, d).where("_op in ('insert', 'upsert')"), _ACCOUNTS)
+
+
+@_query(_put_sql("'insert'", False))
+def upsert_insert_only(spark: SparkSession, d: str) -> DataFrame:
+    return apply.merge(_target(spark, d), apply.passing(_incoming(spark, d), Mode.INSERT_ONLY), _ACCOUNTS, allow_update=False, updates=False)
+
+
+@_query(_put_sql("'insert', 'upsert', 'update', 'delete'", True))
+def snapshot_apply(spark: SparkSession, d: str) -> DataFrame:
+    return apply.merge(_target(spark, d), _incoming(spark, d).withColumn("_op", F.lit("upsert")), _ACCOUNTS)
+
+
+@_query(f"{_MERGE}, i AS (SELECT * FROM incoming WHERE op = 'update') SELECT t.c_custkey, CASE WHEN t.owner = i.peer AND t.c_custkey % 8 <> 2 THEN i.c_name ELSE t.c_name END AS c_name, CASE WHEN t.owner = i.peer THEN i.c_acctbal ELSE t.c_acctbal END AS c_acctbal, t.owner FROM target t LEFT JOIN i ON t.c_custkey = i.c_custkey")
+def partial_update(spark: SparkSession, d: str) -> DataFrame:
+    return apply.merge(_target(spark, d), _incoming(spark, d).where("_op = 'update'"), _ACCOUNTS)
+
+
+@_query(f"{_MERGE}, i AS (SELECT * FROM incoming WHERE op = 'delete') SELECT t.* FROM target t LEFT JOIN i ON t.c_custkey = i.c_custkey WHERE NOT coalesce(i.c_custkey IS NOT NULL AND (t.owner IS NULL OR t.owner = i.peer), false)")
+def delete_gated(spark: SparkSession, d: str) -> DataFrame:
+    return apply.merge(_target(spark, d), _incoming(spark, d).where("_op = 'delete'"), _ACCOUNTS)
+
+
+@_query(f"""{T.sql('payments')}, old AS (SELECT * FROM payments WHERE owner = '{REGION}')
+SELECT o_orderkey, concat_ws(',', 'o_orderkey', CASE WHEN o_orderkey % 3 = 0 THEN 'o_orderstatus' END, CASE WHEN o_orderkey % 4 = 0 THEN 'o_totalprice' END) AS changed
+FROM old WHERE true""")
+def update_diff(spark: SparkSession, d: str) -> DataFrame:
+    p = T.payments(spark, d).drop("o_custkey", "o_orderdate")
+    k = F.col("o_orderkey")
+    new = F.struct("o_orderkey", F.when(k % 3 == 0, F.lit("Z")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.when(k % 4 == 0, F.lit(-1.0)).otherwise(F.col("o_totalprice")).alias("o_totalprice"), "owner")
+    log = p.select(F.lit("payments").alias("relation"), F.lit("update").alias("kind"), F.struct("o_orderkey", "o_orderstatus", "o_totalprice", "owner").alias("old"), new.alias("new"), F.lit(None).cast("array<string>").alias("toast"), F.lit(True).alias("committed"), F.lit("1/A").alias("tx_id"), k.alias("ord"), k.alias("version"))
+    return cdc.decode(log, T.PAYMENTS, REGION, True).select("o_orderkey", F.array_join("_changed", ",").alias("changed"))
+
+
+# one peer's batch end to end: order, staleness, last per key, then the merge
+_E2E = f"""{_RANKED}, mine AS (SELECT * FROM ranked WHERE owner = '{REGION}'), run AS (SELECT *, max(pos) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM mine),
+alive AS (SELECT * FROM run WHERE pos > greatest(coalesce(before, 0), 20 * 1000000 + 50)),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ord DESC) AS rn FROM alive) WHERE rn = 1),
+target AS (SELECT c_custkey AS user_id, 'none' AS event_type, 0.0::DOUBLE AS value, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN 'ASIA' ELSE owner END AS owner FROM users WHERE owner = '{REGION}' AND c_custkey % 3 > 0),
+j AS (SELECT t.user_id AS tu, t.event_type AS te, t.value AS tv, t.owner AS too, l.user_id AS lu, l.event_type AS le, l.value AS lv, l.op, l.feed_id,
+  (t.owner IS NULL OR t.owner = '{REGION}') AS gate FROM target t FULL JOIN last l ON t.user_id = l.user_id),
+k AS (SELECT *, tu IS NULL AND op IN ('insert', 'upsert') AS made, tu IS NOT NULL AND lu IS NOT NULL AND gate AND op IN ('insert', 'upsert') AS put, coalesce(tu IS NOT NULL AND too = '{REGION}' AND op = 'update', false) AS patch, tu IS NOT NULL AND coalesce(gate AND op = 'delete', false) AS gone FROM j)
+SELECT coalesce(tu, lu) AS user_id, CASE WHEN made OR put OR (patch AND feed_id % 2 = 1) THEN le ELSE te END AS event_type, CASE WHEN made OR put OR patch THEN lv ELSE tv END AS value, CASE WHEN made OR put THEN '{REGION}' ELSE too END AS owner FROM k WHERE (tu IS NOT NULL OR made) AND NOT gone"""
+
+
+def _e2e_target(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    owner = F.when(k % 5 == 0, F.lit(None)).when(k % 7 == 0, F.lit("ASIA")).otherwise(F.col("owner"))
+    return T.users(spark, d).where((F.col("owner") == REGION) & (k % 3 > 0)).select(k.alias("user_id"), F.lit("none").alias("event_type"), F.lit(0.0).alias("value"), owner.alias("owner"))
+
+
+@_query(_E2E)
+def apply_batch_end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    events = _events(spark, d).where(F.col("_peer") == REGION)
+    target, _ = apply.apply_batch(_e2e_target(spark, d), events, _cursors(spark, d, 20), _TARGET, Mode.FULL_SYNC)
+    return target
+
+
+# --- fan-out, batching, outbox
+
+_PEERS = ["AMERICA", "ASIA"]
+
+
+def _outgoing(spark: SparkSession, d: str) -> DataFrame:
+    """Own changes as events for two peers: even users come in transactions of a key range."""
+    c = _events(spark, d).where(F.col("_peer") == REGION).withColumn("_tx", F.when(F.col("feed_id") % 2 == 0, F.concat(F.lit("T"), F.floor(F.col("feed_id") / 500).cast("string"))).otherwise(F.lit("")))
+    return changefeed.fan_out(c, _PEERS)
+
+
+_OUT = f"{_CHANGES}, outgoing AS (SELECT c.*, p.peer, CASE WHEN feed_id % 2 = 0 THEN 'T' || (feed_id // 500)::VARCHAR ELSE '' END AS tx FROM changes c CROSS JOIN (VALUES ('AMERICA'), ('ASIA')) p(peer) WHERE owner = '{REGION}')"
+_BATCHED = f"{_OUT}, batched AS (SELECT *, ((row_number() OVER (PARTITION BY peer, tx ORDER BY feed_id) - 1) // 100)::BIGINT AS batch, CASE WHEN tx = '' THEN 'accounts' ELSE '' END AS key FROM outgoing)"
+_SEQ = f"{_BATCHED}, heads AS (SELECT peer, key, tx, batch, min(feed_id) AS first_id, max(feed_id) AS last_id, count(*) AS n FROM batched GROUP BY ALL), seq AS (SELECT *, (row_number() OVER (PARTITION BY peer, key ORDER BY first_id, batch) + CASE WHEN peer = 'ASIA' AND key = '' THEN 9 ELSE 0 END)::BIGINT AS sequence FROM heads)"
+
+
+@_query(f"{_OUT} SELECT feed_id, peer FROM outgoing")
+def fanout_peers(spark: SparkSession, d: str) -> DataFrame:
+    return _outgoing(spark, d).select("feed_id", F.col("_to").alias("peer"))
+
+
+@_query(f"{_BATCHED} SELECT feed_id, peer, tx, batch, key FROM batched")
+def batch_split(spark: SparkSession, d: str) -> DataFrame:
+    return changefeed.batches(_outgoing(spark, d), 100).select("feed_id", F.col("_to").alias("peer"), F.col("_tx").alias("tx"), F.col("_batch").alias("batch"), F.col("_key").alias("key"))
+
+
+def _heads(spark: SparkSession, d: str) -> DataFrame:
+    b = changefeed.batches(_outgoing(spark, d), 100)
+    heads = b.groupBy("_to", "_key", "_tx", "_batch").agg(F.min("_ord").alias("_first"), F.max("_ord").alias("last_id"), F.count("*").alias("n"))
+    counters = spark.createDataFrame([("ASIA", "", 10)], "peer_region string, table_name string, next_sequence bigint")
+    return changefeed.sequence(heads, counters)
+
+
+@_query(f"{_SEQ} SELECT peer, key, tx, batch, n, sequence FROM seq")
+def sequence_alloc(spark: SparkSession, d: str) -> DataFrame:
+    return _heads(spark, d).select(F.col("_to").alias("peer"), F.col("_key").alias("key"), F.col("_tx").alias("tx"), F.col("_batch").alias("batch"), "n", "sequence")
+
+
+def _batch_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _heads(spark, d).select(F.col("_to").alias("peer_region"), F.col("_key").alias("table_name"), "sequence", F.col("last_id").cast("string").alias("last_event_id"), F.col("_tx").alias("tx_id"), "n")
+
+
+@_query(f"{_SEQ} SELECT peer AS peer_region, key AS table_name, sequence, last_id::VARCHAR AS last_event_id, n FROM seq WHERE last_id % 3 <> 0")
+def outbox_enqueue_dedup(spark: SparkSession, d: str) -> DataFrame:
+    rows = _batch_rows(spark, d)
+    there = rows.where("cast(last_event_id as bigint) % 3 = 0")
+    # every batch comes twice, as after a lost acknowledgement
+    return outbox.enqueue(there, rows.unionByName(rows)).select("peer_region", "table_name", "sequence", "last_event_id", "n")
+
+
+_BOX = f"{T.sql('feed')}, box AS (SELECT feed_id + 1 AS id, owner AS peer_region, 'accounts' AS table_name, feed_id + 1 AS sequence, feed_id::VARCHAR AS last_event_id, ts AS created_at FROM feed)"
+
+
+def _box(spark: SparkSession, d: str) -> DataFrame:
+    f = T.feed(spark, d)
+    return f.select((F.col("feed_id") + 1).alias("id"), F.col("owner").alias("peer_region"), F.lit("accounts").alias("table_name"), (F.col("feed_id") + 1).alias("sequence"), F.col("feed_id").cast("string").alias("last_event_id"), F.col("ts").alias("created_at"))
+
+
+_LOW, _HIGH = datetime(2024, 1, 3), datetime(2024, 1, 12)
+
+
+@_query(f"{_BOX} SELECT id, peer_region, sequence FROM box WHERE peer_region = '{REGION}' AND id > 40 AND created_at > TIMESTAMP '2024-01-03' AND created_at <= TIMESTAMP '2024-01-12' ORDER BY id LIMIT 256")
+def outbox_window(spark: SparkSession, d: str) -> DataFrame:
+    return outbox.window(_box(spark, d), REGION, 40, _LOW, _HIGH).select("id", "peer_region", "sequence")
+
+
+@_query(f"{_BOX} SELECT id, sequence FROM box WHERE peer_region = '{REGION}' ORDER BY id LIMIT 50")
+def outbox_pending(spark: SparkSession, d: str) -> DataFrame:
+    return outbox.pending(_box(spark, d), REGION, 50).select("id", "sequence")
+
+
+@_query(f"{_BOX} SELECT id, sequence FROM box WHERE peer_region = '{REGION}' AND created_at > TIMESTAMP '2024-01-12'")
+def outbox_live_tail(spark: SparkSession, d: str) -> DataFrame:
+    return outbox.live_tail(_box(spark, d), REGION, _HIGH).select("id", "sequence")
+
+
+@_query(f"{_BOX} SELECT id, peer_region FROM box WHERE id % 10 <> 1")
+def outbox_ack(spark: SparkSession, d: str) -> DataFrame:
+    b = _box(spark, d)
+    return outbox.acknowledge(b, b.where("id % 10 = 1")).select("id", "peer_region")
+
+
+@_query(f"{_BOX} SELECT id, peer_region FROM box WHERE created_at >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY")
+def outbox_cleanup_age(spark: SparkSession, d: str) -> DataFrame:
+    return outbox.expire(_box(spark, d), NOW, 7 * 86400.0).select("id", "peer_region")
+
+
+@_query(f"{_BOX} SELECT id, peer_region FROM box QUALIFY row_number() OVER (PARTITION BY peer_region ORDER BY id DESC) <= 100")
+def outbox_cleanup_count(spark: SparkSession, d: str) -> DataFrame:
+    return outbox.newest(_box(spark, d), 100).select("id", "peer_region")
+
+
+@_query(f"{_BOX} SELECT count(*)::BIGINT AS pending, greatest(0.0, (epoch_us(TIMESTAMP '2024-01-20') - min(epoch_us(created_at))) / 1000000.0)::DOUBLE AS oldest_age_seconds FROM box")
+def outbox_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return outbox.metrics(_box(spark, d), NOW)
+
+
+# --- jobs, leases, peers, handshakes: every (region, nation) pair stands for a (peer, table) pair
+
+_JOBS = "WITH pairs AS (SELECT r_name AS peer_region, n_name AS table_name, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey), jobs AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'finished' ELSE 'snapshotting' END AS status, k::VARCHAR AS last_pk, CASE WHEN k % 2 = 0 THEN k END AS watermark_at, CASE WHEN k % 3 = 0 THEN k END AS finished_at FROM pairs WHERE k % 4 > 0), cursors AS (SELECT peer_region, table_name, CASE WHEN k % 10 = 0 THEN '' ELSE 'e' END AS last_event_id FROM pairs WHERE k % 5 = 0)"
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    n, r = T.read(spark, d, "nation"), T.read(spark, d, "region")
+    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("peer_region"), F.col("n_name").alias("table_name"), F.col("n_nationkey").alias("k"))
+
+
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("k")
+    return _pairs(spark, d).where(k % 4 > 0).select("peer_region", "table_name", F.when(k % 3 == 0, F.lit("finished")).otherwise(F.lit("snapshotting")).alias("status"), k.cast("string").alias("last_pk"), F.when(k % 2 == 0, k).alias("watermark_at"), F.when(k % 3 == 0, k).alias("finished_at"))
+
+
+@_query(f"{_JOBS} SELECT p.peer_region, p.table_name, coalesce(j.status, 'pending') AS status, j.last_pk AS resume_pk FROM pairs p LEFT JOIN jobs j USING (peer_region, table_name) WHERE NOT EXISTS (SELECT 1 FROM cursors c WHERE c.peer_region = p.peer_region AND c.table_name = p.table_name AND last_event_id <> '') AND coalesce(j.status, '') <> 'finished'")
+def snapshot_needed(spark: SparkSession, d: str) -> DataFrame:
+    cursors = _pairs(spark, d).where("k % 5 = 0").select("peer_region", "table_name", F.when(F.col("k") % 10 == 0, F.lit("")).otherwise(F.lit("e")).alias("last_event_id"))
+    return jobs.snapshots_needed(_pairs(spark, d), cursors, _jobs(spark, d))
+
+
+@_query(f"{_JOBS} SELECT peer_region, table_name, status FROM jobs WHERE finished_at IS NULL")
+def pending_jobs(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.pending_jobs(_jobs(spark, d)).select("peer_region", "table_name", "status")
+
+
+@_query(f"{_JOBS} SELECT peer_region, table_name, CASE WHEN k % 3 > 0 AND k % 7 > 1 THEN 'catching_up' ELSE status END AS status, CASE WHEN k % 3 > 0 AND k % 7 > 1 THEN 'pk' ELSE last_pk END AS last_pk, CASE WHEN k % 3 > 0 AND k % 7 > 1 THEN coalesce(CASE WHEN k % 5 > 0 THEN 99 END, watermark_at) ELSE watermark_at END AS watermark_at FROM jobs")
+def checkpoint_merge(spark: SparkSession, d: str) -> DataFrame:
+    marks = _pairs(spark, d).where("k % 7 > 1").select("peer_region", "table_name", F.lit("catching_up").alias("status"), F.lit("pk").alias("last_pk"), F.when(F.col("k") % 5 > 0, F.lit(99)).alias("watermark_at"))
+    return jobs.checkpoint(_jobs(spark, d), marks).drop("finished_at")
+
+
+_LEASES = "WITH leases AS (SELECT s_suppkey AS lease_id, CASE WHEN s_suppkey % 3 = 0 THEN 'pod-a' ELSE 'pod-b' END AS owner_id, (s_suppkey % 5 + 1)::BIGINT AS generation, (s_suppkey % 20)::DOUBLE AS expires_at FROM supplier)"
+
+
+def _leases(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return T.read(spark, d, "supplier").select(k.alias("lease_id"), F.when(k % 3 == 0, F.lit("pod-a")).otherwise(F.lit("pod-b")).alias("owner_id"), (k % 5 + 1).alias("generation"), (k % 20).cast("double").alias("expires_at"))
+
+
+@_query(f"{_LEASES} SELECT lease_id, CASE WHEN expires_at <= 10 OR owner_id = 'pod-a' THEN 'pod-a' ELSE owner_id END AS owner_id, generation + CASE WHEN expires_at <= 10 AND owner_id <> 'pod-a' THEN 1 ELSE 0 END AS generation, CASE WHEN expires_at <= 10 OR owner_id = 'pod-a' THEN 15.0 ELSE expires_at END AS expires_at FROM leases")
+def lease_acquire(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.acquire(_leases(spark, d), "pod-a", 10.0, 5.0)
+
+
+@_query(f"{_LEASES} SELECT lease_id, owner_id, generation, CASE WHEN owner_id = 'pod-a' AND generation = 2 AND expires_at > 10 THEN 15.0 ELSE expires_at END AS expires_at FROM leases")
+def lease_renew(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.renew(_leases(spark, d), "pod-a", 2, 10.0, 5.0)
+
+
+@_query(f"{_LEASES} SELECT * FROM leases WHERE expires_at > 10")
+def lease_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.sweep(_leases(spark, d), 10.0)
+
+
+@_query(f"SELECT n_name AS region, CASE WHEN n_nationkey % 6 = 0 THEN '' ELSE 'h' END AS endpoint FROM nation WHERE n_nationkey % 6 > 0 AND n_name <> '{'FRANCE'}'")
+def peer_eligibility(spark: SparkSession, d: str) -> DataFrame:
+    peers = T.read(spark, d, "nation").select(F.col("n_name").alias("region"), F.when(F.col("n_nationkey") % 6 == 0, F.lit("")).otherwise(F.lit("h")).alias("endpoint"))
+    return changefeed.eligible(peers, "FRANCE")
+
+
+@_query("SELECT n_name AS table_name, CASE WHEN n_nationkey < 15 THEN 'local' ELSE 'remote' END AS side FROM nation WHERE n_nationkey < 5 OR n_nationkey >= 15")
+def handshake_diff(spark: SparkSession, d: str) -> DataFrame:
+    n = T.read(spark, d, "nation").select(F.col("n_name").alias("table_name"), "n_nationkey")
+    return jobs.handshake_diff(n.where("n_nationkey < 15").select("table_name"), n.where("n_nationkey >= 5").select("table_name"))
+
+
+# --- encryption and metadata
+
+@_query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def crypto_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    c = T.read(spark, d, "customer")
+    twice = [aead.decrypt(aead.encrypt(F.col(x), KEY), KEY).alias(x) for x in ("c_name", "c_mktsegment")]
+    return c.select("c_custkey", *twice)
+
+
+_FIELDS = [TransformerSpec("users", ("name",), "k")]
+
+
+@_query("""SELECT c_custkey, '"' || c_name || '"' AS in_transit, c_custkey::VARCHAR AS id_field, 1::BIGINT AS n_fields, '"' || c_name || '"' AS restored FROM customer""")
+def transit_move(spark: SparkSession, d: str) -> DataFrame:
+    c = T.read(spark, d, "customer")
+    rows = c.select("c_custkey", F.create_map(F.lit("id"), F.col("c_custkey").cast("string"), F.lit("name"), keys.json_fragment(F.col("c_name"))).alias("fields"), F.create_map().cast("map<string,string>").alias("metadata"))
+    # stored encrypted, sent in the clear as metadata, stored encrypted again
+    stored = transform.encrypt_fields(rows, _FIELDS, {"k": KEY})
+    sent = transform.chain(stored, transform.outbound(_FIELDS, {"k": KEY}))
+    back = transform.chain(sent, transform.inbound(_FIELDS, {"k": KEY})).select("c_custkey", F.col("fields").alias("fields"))
+    plain = transform.decrypt_fields(back, _FIELDS, {"k": KEY}).select(F.col("c_custkey").alias("k2"), F.col("fields")["name"].alias("restored"))
+    out = sent.select("c_custkey", F.col("metadata")["transit.crypto.name"].alias("in_transit"), F.col("fields")["id"].alias("id_field"), F.size("fields").cast("bigint").alias("n_fields"))
+    return out.join(plain, F.col("c_custkey") == F.col("k2")).drop("k2")
+
+
+@_query("SELECT n_nationkey, 1::BIGINT AS n_left, n_name AS origin FROM nation")
+def metadata_scrub(spark: SparkSession, d: str) -> DataFrame:
+    n = T.read(spark, d, "nation")
+    meta = F.create_map(F.lit("transit"), F.lit("1"), F.lit("transit.crypto.x"), F.lit("2"), F.lit("app.origin"), F.col("n_name"))
+    out = transform.scrub(n.select("n_nationkey", meta.alias("metadata")))
+    return out.select("n_nationkey", F.size("metadata").cast("bigint").alias("n_left"), F.col("metadata")["app.origin"].alias("origin"))
+
+
+@_query(f"{T.sql('payments')} SELECT o_orderkey, '[{{\"column\":\"o_orderkey\",\"type\":\"integer\",\"json_value\":\"' || o_orderkey::VARCHAR || '\"}}]' AS pk_json FROM payments")
+def pk_codec(spark: SparkSession, d: str) -> DataFrame:
+    p = T.payments(spark, d)
+    text = keys.pk_json(keys.pk_array(T.PAYMENTS, p.schema))
+    return p.select("o_orderkey", keys.pk_json(keys.parse_pk(text)).alias("pk_json"))
+
+
+@_query("SELECT event_id, upper(to_hex(event_id * 100003)) AS low, event_id * 100003 AS position FROM events")
+def lsn_codec(spark: SparkSession, d: str) -> DataFrame:
+    e = T.read(spark, d, "events")
+    text = keys.lsn_text(F.col("event_id") * 100003)
+    return e.select("event_id", F.split(text, "/")[1].alias("low"), keys.lsn_number(text).alias("position"))
+
+
+# --- two regions: each polls its own users and the other applies them
+
+@_query(f"""{T.sql('users')} SELECT region, count(*)::BIGINT AS n_rows, sum(c_custkey)::BIGINT AS key_sum, count(DISTINCT owner)::BIGINT AS owners
+FROM users CROSS JOIN (VALUES ('EUROPE'), ('ASIA')) v(region) WHERE owner IN ('EUROPE', 'ASIA') GROUP BY region""")
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Both regions hold both regions' rows after one exchange; owners stay apart."""
+    u = T.users(spark, d)
+    out = None
+    for region, other in (("EUROPE", "ASIA"), ("ASIA", "EUROPE")):
+        own = changefeed.local_origin(u, T.USERS, region)
+        sent = changefeed.local_origin(u, T.USERS, other).withColumns({"_op": F.lit("upsert"), "_version": F.col("c_custkey") + 1, "_ord": F.col("c_custkey")})
+        events = changefeed.to_events(sent, T.USERS, other)
+        none = _cursors(spark, d, 0).where("false")
+        merged, _ = apply.apply_batch(own, events, none, T.USERS, Mode.UPSERT, polled=False)
+        row = merged.agg(F.lit(region).alias("region"), F.count("*").alias("n_rows"), F.sum("c_custkey").alias("key_sum"), F.countDistinct("owner").alias("owners"))
+        out = row if out is None else out.unionByName(row)
+    return out
