@@ -112,8 +112,8 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sh
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones."""
-    bad = stash(_contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct(), "bad")
-    return docs.join(maybe_broadcast(bad), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    bad = stash(_contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__tw_d"), F.col("h").alias("__tw_h")).distinct(), "bad")
+    return docs.join(maybe_broadcast(bad), F.col("doc_id").eqNullSafe(F.col("__tw_d")) & (F.xxhash64("text") == F.col("__tw_h")), "left_anti")
 
 
 ORACLE = r"""

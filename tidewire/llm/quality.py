@@ -90,6 +90,7 @@ class FactorisationMachine:
         share = (y.sum() + 1) / (len(y) + 2)
         self.w0 = float(np.log(share / (1 - share)))
         if not 0 < y.sum() < len(y):
+            self.v[:] = 0
             return self
         gw, gv, g0 = np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6), 1e-6
         rng = np.random.default_rng(11)

@@ -170,12 +170,12 @@ def simhash_dedup(docs: DataFrame, threshold: int = 2, text: str = "text", id_co
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
     rows = each.groupBy("c", "doc_id", "h").agg(F.count("*").alias("n"))
     best = rows.groupBy("c").agg(F.min(order).alias("best"), F.sum("n").alias("all")).where(F.col("all") > 1).select("c", "best")
-    marked = stash(rows.join(maybe_broadcast(stash(best, "best")), "c").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), (order == F.col("best")).alias("stays"), "n"), "marked")
-    same = F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h"))
-    left = docs.join(maybe_broadcast(marked.where("not stays").select("_d", "_h")), same, "left_anti")
-    repeated = marked.where("stays and n > 1").select("_d", "_h")
+    marked = stash(rows.join(maybe_broadcast(stash(best, "best")), "c").select(F.col("doc_id").alias("__tw_d"), F.col("h").alias("__tw_h"), (order == F.col("best")).alias("stays"), "n"), "marked")
+    same = F.col(id_col).eqNullSafe(F.col("__tw_d")) & (F.xxhash64(text) == F.col("__tw_h"))
+    left = docs.join(maybe_broadcast(marked.where("not stays").select("__tw_d", "__tw_h")), same, "left_anti")
+    repeated = marked.where("stays and n > 1").select("__tw_d", "__tw_h")
     if repeated.isEmpty():
         return left
     repeated = maybe_broadcast(repeated)
-    once = left.join(repeated, same, "left_semi").withColumn("_h", F.xxhash64(text)).dropDuplicates([id_col, "_h"]).drop("_h")
+    once = left.join(repeated, same, "left_semi").withColumn("__tw_h", F.xxhash64(text)).dropDuplicates([id_col, "__tw_h"]).drop("__tw_h")
     return left.join(repeated, same, "left_anti").unionByName(once)

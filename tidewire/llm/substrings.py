@@ -240,10 +240,10 @@ def without(text: str | None, gone: list[int] | None) -> str | None:
 def dedup_substrings(docs: DataFrame, threshold: float = THRESHOLD, run_words: int = RUN_WORDS) -> DataFrame:
     """docs with repeated passages removed from text, and two columns more: _removed
     (array of removed units) and _removed_words."""
-    gone = stash(repeats(docs, threshold, run_words).withColumnsRenamed({"doc_id": "_d", "v": "_v", "gone": "_gone", "removed_words": "_words"}), "gone")
-    out = docs.join(maybe_broadcast(gone), (F.col("doc_id") == F.col("_d")) & (_variant() == F.col("_v")), "left").drop("_d", "_v")
+    gone = stash(repeats(docs, threshold, run_words).withColumnsRenamed({"doc_id": "__tw_d", "v": "__tw_v", "gone": "__tw_gone", "removed_words": "__tw_words"}), "gone")
+    out = docs.join(maybe_broadcast(gone), (F.col("doc_id") == F.col("__tw_d")) & (_variant() == F.col("__tw_v")), "left").drop("__tw_d", "__tw_v")
     names = [f"c{k}" for k in range(len(out.columns))]
-    text, which = names[docs.columns.index("text")], names[out.columns.index("_gone")]
+    text, which = names[docs.columns.index("text")], names[out.columns.index("__tw_gone")]
     plain = out.toDF(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,4 +255,4 @@ def dedup_substrings(docs: DataFrame, threshold: float = THRESHOLD, run_words: i
                 yield part.set_column(at, part.schema.field(at), pa.array(made, part.schema.field(at).type))
 
     done = plain.mapInArrow(run, plain.schema).toDF(*out.columns)
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("_gone", F.array().cast("array<int>")).alias("_removed"), F.coalesce("_words", F.lit(0)).cast("long").alias("_removed_words"))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("__tw_gone", F.array().cast("array<int>")).alias("_removed"), F.coalesce("__tw_words", F.lit(0)).cast("long").alias("_removed_words"))

@@ -41,21 +41,36 @@ IDENTITY = {
     "orientation": "gay lesbian bisexual straight homosexual heterosexual queer schwul lesbisch lesbienne homosexuel lesbiana",
     "ability": "disabled blind deaf autistic elderly young old behindert taub handicapé sourd aveugle discapacitado sordo ciego",
 }
-_GROUPS = [terms.split() for terms in IDENTITY.values()]
-_PARTNERS = {t: [g[(k + d) % len(g)] for d in (1, 5)] for g in _GROUPS for k, t in enumerate(g)}
+_PLACE = {t: (terms.split(), k) for terms in IDENTITY.values() for k, t in enumerate(terms.split())}
+#: Counterfactuals of one text.
+SWAPS = 3
 
 
 def features(text: str | None) -> np.ndarray:
     """Ids of the distinct words of a whole text and of their beginnings, which inflected forms share."""
-    seen = set(words(text))
-    seen |= {f"{w[:n]}-" for n in STEMS for w in seen if len(w) > n}
-    return np.unique(np.fromiter((slot(w, BITS) for w in seen), np.int64, len(seen)))
+    return _ids(set(words(text)))
+
+
+def _ids(seen: set[str]) -> np.ndarray:
+    every = seen | {f"{w[:n]}-" for n in STEMS for w in seen if len(w) > n}
+    return np.unique(np.fromiter((slot(w, BITS) for w in every), np.int64, len(every)))
+
+
+def partner(term: str, turn: int) -> str:
+    """Another term of the same kind; all of them over the turns."""
+    group, at = _PLACE[term]
+    return group[(at + 1 + turn % (len(group) - 1)) % len(group)]
 
 
 def swaps(text: str | None) -> list[tuple[list[int], list[int]]]:
-    """For each partner choice, the ids of the identity terms present and of those they become."""
-    here = sorted(_PARTNERS.keys() & words(text).keys())
-    return [([slot(t, BITS) for t in here], [slot(_PARTNERS[t][k], BITS) for t in here]) for k in range(2)] if here else []
+    """For each counterfactual, the features that go and those that come when every identity term is
+    swapped. Partners depend on the text, so that over many texts every term meets every other."""
+    seen = set(words(text))
+    if not _PLACE.keys() & seen:
+        return []
+    own, turn = _ids(seen), slot(text or "", 16)
+    others = [_ids({partner(w, turn + 7 * k) if w in _PLACE else w for w in seen}) for k in range(SWAPS)]
+    return [(np.setdiff1d(own, o).tolist(), np.setdiff1d(o, own).tolist()) for o in others]
 
 
 def fit_weights(x: list[np.ndarray], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], penalty: float = 20.0, decay: float = 3e-4, rounds: int = 300, prior: float | None = None) -> tuple[float, np.ndarray]:
