@@ -152,9 +152,13 @@ def _variant() -> Column:
 
 
 def _later(each: DataFrame, key: str) -> DataFrame:
-    """The rows of each whose key occurs in a document with a smaller id."""
+    """The rows of each whose key occurs in a document with a smaller id.
+
+    Both sides shuffle by the key at every size; adaptive execution splits the
+    keys that very many rows share.
+    """
     first = each.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most")).where("first < most").select(key, "first")
-    return each.join(maybe_broadcast(stash(first, "first")), key).where("doc_id > first")
+    return each.join(stash(first, "first"), key).where("doc_id > first")
 
 
 def candidates(banded: DataFrame) -> DataFrame:
@@ -211,7 +215,7 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, run_words: int = RUN_
     packed = F.col("v").cast("long") * (1 << 48) + F.col("pos").cast("long") * (1 << 16) + F.least("n", F.lit(0xFFFF))
     single = _later(every.where("last is null").select("p", "doc_id", packed.alias("at")), "p")
     single = single.select("doc_id", F.shiftright("at", 48).cast("int").alias("v"), (F.shiftright("at", 16) % (1 << 32)).cast("int").alias("pos"), (F.col("at") % (1 << 16)).cast("int").alias("n"))
-    lines = every.where("last is not null").select("p", "doc_id", "v", "pos", "last", "n").join(maybe_broadcast(comp), "p")
+    lines = every.where("last is not null").select("p", "doc_id", "v", "pos", "last", "n").join(comp, "p")
     # a paragraph's words lie on its first unit, in place of those its units have
     place = F.explode(F.sequence("pos", "last")).alias("at")
     lines = _later(lines.drop("p"), "c").select("doc_id", "v", "pos", "n", place).select("doc_id", "v", F.col("at").alias("pos"), F.when(F.col("at") == F.col("pos"), F.col("n")).otherwise(0).alias("whole"))
