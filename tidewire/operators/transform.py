@@ -5,6 +5,7 @@ Rows carry ``fields`` and ``metadata``, maps from name to JSON text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -49,9 +50,18 @@ def valid_key(key: Column) -> Column:
     return key.rlike(METADATA_KEY)
 
 
+def counted(df: DataFrame, step: str) -> DataFrame:
+    """df, its rows counted as an observed metric.
+
+    The node also keeps the optimizer from inlining a step's expressions into
+    each of their uses in the next, which multiplies them.
+    """
+    return df.observe(f"{step}-{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
+
+
 def chain(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
     for step in steps:
-        df = df.transform(step)
+        df = counted(df, "transform").transform(step)
     return df
 
 
@@ -64,41 +74,55 @@ def _quoted(value: Column) -> Column:
     return F.substr(whole, F.lit(6), F.length(whole) - 6)
 
 
-def _put(fields: Column, name: str, value: Column) -> Column:
-    return F.map_concat(F.map_filter(fields, lambda k, _: k != name), F.create_map(F.lit(name), value))
+def _replace(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """fields with each named one that is present set to column __new<k>; helper columns go."""
+    named = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    entries = [F.struct(F.lit(n).alias("k"), F.col(f"__new{k}").alias("v"), F.map_contains_key("fields", n).alias("has")) for k, n in enumerate(names)]
+    made = F.map_from_entries(F.transform(F.filter(F.array(*entries), lambda e: e["has"]), lambda e: F.struct(e["k"], e["v"])))
+    out = df.withColumn("__fields", F.map_concat(F.map_filter("fields", lambda k, _: ~F.array_contains(named, k)), made))
+    return out.withColumn("fields", F.col("__fields")).drop(*[c for c in out.columns if c.startswith("__")])
+
+
+def _fields(specs: Sequence[TransformerSpec]) -> list[tuple[TransformerSpec, str]]:
+    return list({f: (s, f) for s in specs for f in s.fields}.values())
 
 
 def decrypt_fields(df: DataFrame, specs: Sequence[TransformerSpec], keys: Mapping[str, bytes]) -> DataFrame:
     """fields with the configured ones decrypted; values that are no JSON strings stay.
 
     A JSON null is an empty plain text, as an empty string is. Bytes in the
-    text form of the database (\\x and hex) are decoded first.
+    text form of the database (\\x and hex) are decoded first. Each step is a
+    column of its own, so that no step is evaluated once for every use.
     """
-    fields = F.col("fields")
-    for s in specs:
-        _, undo = handler(s.crypto_type)
-        for f in s.fields:
-            raw = F.element_at(F.col("fields"), f)
-            text = F.coalesce(_unquoted(raw), F.lit(""))
-            hexed = text.startswith("\\x") & (F.length(text) % 2 == 0) & F.substr(text, F.lit(3)).rlike("^[0-9a-fA-F]*$")
-            cipher = F.when(hexed, F.unhex(F.substr(text, F.lit(3))).cast("string")).otherwise(text)
-            plain = undo(cipher, keys[s.key_id])
-            value = F.when(raw.startswith('"') | (raw == "null"), plain).otherwise(raw)
-            fields = F.when(F.map_contains_key("fields", f), _put(fields, f, value)).otherwise(fields)
-    return df.withColumn("fields", fields)
+    if not (every := _fields(specs)):
+        return df
+    n = range(len(every))
+    df = counted(df, "decrypt").withColumns({f"__raw{k}": F.try_element_at("fields", F.lit(f)) for k, (_, f) in enumerate(every)})
+    df = df.withColumns({f"__text{k}": F.coalesce(_unquoted(F.col(f"__raw{k}")), F.lit("")) for k in n})
+
+    def cipher(text: Column) -> Column:
+        hexed = text.startswith("\\x") & (F.length(text) % 2 == 0) & F.substr(text, F.lit(3)).rlike("^[0-9a-fA-F]*$")
+        return F.when(hexed, F.unhex(F.substr(text, F.lit(3))).cast("string")).otherwise(text)
+
+    df = df.withColumns({f"__cipher{k}": cipher(F.col(f"__text{k}")) for k in n})
+    df = df.withColumns({f"__plain{k}": handler(s.crypto_type)[1](F.col(f"__cipher{k}"), keys[s.key_id]) for k, (s, _) in enumerate(every)})
+    secret = lambda raw: raw.startswith('"') | (raw == "null")
+    df = df.withColumns({f"__new{k}": F.when(secret(F.col(f"__raw{k}")), F.col(f"__plain{k}")).otherwise(F.col(f"__raw{k}")) for k in n})
+    return _replace(df, [f for _, f in every])
 
 
 def encrypt_fields(df: DataFrame, specs: Sequence[TransformerSpec], keys: Mapping[str, bytes]) -> DataFrame:
     """fields with the configured ones, where present, encrypted as JSON strings; deletes stay."""
-    fields = F.col("fields")
-    for s in specs:
-        do, _ = handler(s.crypto_type)
-        for f in s.fields:
-            value = _quoted(do(F.element_at(F.col("fields"), f), keys[s.key_id]))
-            fields = F.when(F.map_contains_key("fields", f), _put(fields, f, value)).otherwise(fields)
+    if not (every := _fields(specs)):
+        return df
+    raw = {f"__raw{k}": F.try_element_at("fields", F.lit(f)) for k, (_, f) in enumerate(every)}
     if "_op" in df.columns:
-        fields = F.when(F.col("_op") == "delete", F.col("fields")).otherwise(fields)
-    return df.withColumn("fields", fields)
+        raw = {k: F.when(F.col("_op") != "delete", c) for k, c in raw.items()}
+    df = counted(df, "encrypt").withColumns(raw)
+    df = df.withColumns({f"__cipher{k}": handler(s.crypto_type)[0](F.col(f"__raw{k}"), keys[s.key_id]) for k, (s, _) in enumerate(every)})
+    kept = (lambda f, c: F.when(F.col("_op") == "delete", F.try_element_at("fields", F.lit(f))).otherwise(c)) if "_op" in df.columns else (lambda f, c: c)
+    df = df.withColumns({f"__new{k}": kept(f, _quoted(F.col(f"__cipher{k}"))) for k, (_, f) in enumerate(every)})
+    return _replace(df, [f for _, f in every])
 
 
 def to_transit(df: DataFrame, names: Sequence[str]) -> DataFrame:
