@@ -8,7 +8,7 @@ a fixed number of Spark jobs for a batch, however many rows it has.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from ..functions import keys
 from ..functions.numbering import durable
 from ..operators import apply, changefeed, jobs, outbox
-from ..sources import polling, snapshot
+from ..sources import cdc, polling, snapshot
 from ..spec import Config, JobStatus, TableSpec
 from .lease import PermanentError
 from .state import StateStore
@@ -77,25 +77,50 @@ class Engine:
         When the broadcast mode lets nothing pass, nothing is stored and the
         stored cursor stays behind.
         """
-        spec, peers = self.tables[name], changefeed.eligible_peers(self.config.peers, self.config.region)
+        self._enqueue(self._wired(name, changes.withColumn("_tx", F.lit(tx_id))))
+
+    def capture_log(self, log: DataFrame) -> None:
+        """Stage the committed transactions of a change log (see sources.cdc), all tables of one in order."""
+        wired = None
+        for name, spec in self.tables.items():
+            one = self._wired(name, cdc.decode(log, spec, self.config.region, self.config.update_diff))
+            wired = one if wired is None else wired.unionByName(one)
+        self._enqueue(wired)
+
+    def follow_log(self, log: DataFrame, checkpoint: str) -> None:
+        """Stage a streaming change log until it has no more; the checkpoint plays the slot's part.
+
+        A repeated micro-batch gives the same batches, which the outbox knows.
+        """
+        log.writeStream.foreachBatch(lambda rows, _: self.capture_log(rows)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    def _wired(self, name: str, changes: DataFrame) -> DataFrame:
+        """Events of one table with their JSON, in columns that all tables share."""
+        spec, cols = self.tables[name], self.schemas[name].names
         passed = changes.where(changefeed.allowed(self.config.broadcast_mode, F.col("_op")))
-        every = [F.lit(c) for c in self.schemas[name].names]
-        events = changefeed.to_events(passed.withColumn("_changed", F.col("_changed") if "_changed" in changes.columns else F.array(*every)), spec, self.config.region)
-        events = durable(events.withColumn("_tx", F.lit(tx_id)))
+        if "_changed" not in changes.columns:
+            passed = passed.withColumn("_changed", F.array(*[F.lit(c) for c in cols]))
+        events = changefeed.to_events(passed, spec, self.config.region)
+        payload = F.to_json(F.struct(F.struct(*cols).alias("row"), "_op", "_version", "_ord", "_peer", "_table", "_event_id", "_changed"), {"ignoreNullFields": "false"})
+        return events.select(F.col("_ord").cast("bigint").alias("_ord"), F.col("_version").cast("bigint").alias("_version"), "_table", "_pk", "_event_id", "_tx", payload.alias("_json"))
+
+    def _enqueue(self, wired: DataFrame) -> None:
+        events = durable(wired)
         if events.isEmpty():
             return
-        cols = self.schemas[name].names
-        payload = F.to_json(F.struct(F.struct(*cols).alias("row"), "_op", "_version", "_ord", "_peer", "_table", "_event_id", "_changed"), {"ignoreNullFields": "false"})
-        rows = changefeed.batches(changefeed.fan_out(events, peers), self.config.max_batch_events).withColumn("_json", payload)
+        peers = changefeed.eligible_peers(self.config.peers, self.config.region)
+        rows = changefeed.batches(changefeed.fan_out(events, peers), self.config.max_batch_events)
         grouped = rows.groupBy("_to", "_key", "_tx", "_batch").agg(F.min("_ord").alias("_first"), F.max_by("_event_id", "_ord").alias("last_event_id"), F.sort_array(F.collect_list(F.struct("_ord", "_json"))).alias("es"))
         counters = self.store.read("outbound_sequences")
         numbered = durable(changefeed.sequence(grouped, counters))
-        old = self.store.read("outbox")
-        base = self.store.value("outbox_id", 0)
-        batch = numbered.select((F.lit(base) + F.row_number().over(Window.orderBy("_to", "_first", "_batch"))).cast("bigint").alias("id"), F.col("_to").alias("peer_region"), F.col("_key").alias("table_name"), F.col("sequence").cast("bigint").alias("sequence"), "last_event_id", F.col("_tx").alias("tx_id"), F.concat(F.lit("["), F.array_join(F.transform("es", lambda e: e["_json"]), ","), F.lit("]")).alias("payload"), F.lit(self.clock()).cast("timestamp").alias("created_at"))
-        new = durable(outbox.enqueue(old, batch))
+        base, at = self.store.value("outbox_id", 0), F.lit(self.clock()).cast("timestamp")
+        # batches of one page or micro-batch: a bounded number
+        number = F.row_number().over(Window.orderBy("_to", "_first", "_batch"))
+        payload = F.concat(F.lit("["), F.array_join(F.transform("es", lambda e: e["_json"]), ","), F.lit("]"))
+        batch = numbered.select((F.lit(base) + number).cast("bigint").alias("id"), F.col("_to").alias("peer_region"), F.col("_key").alias("table_name"), F.col("sequence").cast("bigint").alias("sequence"), "last_event_id", F.col("_tx").alias("tx_id"), payload.alias("payload"), at.alias("created_at"))
+        new = durable(outbox.enqueue(self.store.read("outbox"), batch))
         top = new.agg(F.coalesce(F.max("id"), F.lit(base))).first()[0]
-        last = changefeed.latest_cursors(events).select(F.col("_table").alias("table_name"), F.lit(self.config.source_type).alias("source"), "last_version", keys.pk_json(F.col("last_pk")).alias("last_pk"), F.lit(self.clock()).cast("timestamp").alias("updated_at"))
+        last = changefeed.latest_cursors(events).select(F.col("_table").alias("table_name"), F.lit(self.config.source_type).alias("source"), "last_version", keys.pk_json(F.col("last_pk")).alias("last_pk"), at.alias("updated_at"))
         cursors = self.store.read("changefeed_cursors")
         self.store.commit(
             {
@@ -112,6 +137,18 @@ class Engine:
         """A replay page of a peer's batches."""
         return outbox.window(self.store.read("outbox"), peer, after_id, lower, upper, limit)
 
+    def replay(self, peer: str, live: datetime, snapshot_mark: datetime | None = None) -> Iterator[DataFrame]:
+        """All pages up to the live watermark: what a snapshot may have seen first, then the rest."""
+        spans = [(None, live)] if snapshot_mark is None else [(None, snapshot_mark), (snapshot_mark, live)]
+        for lower, upper in spans:
+            after, more = 0, True
+            while more:
+                page = self.serve(peer, after, upper, lower)
+                n, last = page.agg(F.count("*"), F.max("id")).first()
+                if n:
+                    yield page
+                after, more = last, n == outbox.REPLAY_PAGE
+
     def tail(self, peer: str, watermark: datetime | None) -> DataFrame:
         return outbox.live_tail(self.store.read("outbox"), peer, watermark)
 
