@@ -104,18 +104,56 @@ def test_bands_reach_the_recall():
     assert hit >= 285
 
 
-@given(st.text(alphabet=st.characters(codec="utf-8"), max_size=300))
+@given(st.lists(st.sampled_from("abcdefgh"), max_size=300), st.integers(0, 40), st.integers(0, 40))
+@settings(max_examples=60, deadline=None)
+def test_every_shared_run_of_50_words_is_covered(words, before, after):
+    passage = [*"the quick brown fox".split(), *words, *(f"w{k}" for k in range(46))]
+    a = [*(f"a{k}" for k in range(before)), *passage, *(f"b{k}" for k in range(after))]
+    b = [*(f"c{k}" for k in range(after)), *passage, *(f"d{k}" for k in range(before))]
+    (at, got), (_, other) = (sub.winnowed(sub.word_hashes(x, {})) for x in (a, b))
+    hit = np.zeros(len(a), bool)
+    for s in at[np.isin(got, other)]:
+        hit[s : s + sub.WINDOW] = True
+    edge = sub.WINNOW - 1
+    assert hit[before + edge : before + len(passage) - edge].all() and not hit[:before].any() and not hit[before + len(passage) :].any()
+
+
+def test_one_word_repeated_is_thinned_but_covered():
+    at, _ = sub.winnowed(sub.word_hashes(["and"] * 500, {}))
+    assert len(at) < 60 and at[0] < sub.WINNOW and at[-1] + sub.WINDOW > 500 - sub.WINNOW and np.diff(at).max() <= sub.WINDOW
+
+
+@given(st.lists(st.sampled_from(["A", "bb", "\u00e9", " ", "\n", "\t", "\u2003", "\x1c"]), max_size=60), st.data())
 @settings(max_examples=80, deadline=None)
-def test_pieces_join_to_the_text(text):
-    assert "".join(sub.pieces(text)) == text
+def test_only_the_words_of_the_runs_go(parts, data):
+    text = "".join(parts)
+    words = text.split()
+    cuts = sorted(data.draw(st.sets(st.integers(0, len(words)), max_size=6)))
+    cuts = cuts[: len(cuts) // 2 * 2]
+    stay = [w for k, w in enumerate(words) if not any(s <= k < e for s, e in zip(cuts[::2], cuts[1::2], strict=True))]
+    got = sub.without(text, cuts)
+    assert got.split() == stay and (got == text if not cuts else True)
+
+
+def test_lines_stay_apart_where_a_passage_went():
+    assert sub.without("a b c\nd e", [1, 3]) == "a\nd e"
+    assert sub.without("a b\nc d\ne", [2, 4]) == "a b\ne"
+    assert sub.without("a b c", [0, 3]) == ""
 
 
-def test_long_units_are_cut_alike_wherever_they_stand(vocabulary):
-    rng = random.Random(8)
-    passage = sentence(rng, 200, vocabulary)
-    inside = sub.pieces(sentence(rng, 70, vocabulary) + " " + passage + " " + sentence(rng, 30, vocabulary))
-    alone = sub.pieces(passage)
-    assert len({p.strip() for p in alone} & {p.strip() for p in inside}) >= len(alone) - 2
+def test_passages_inside_prose_go_whatever_sentences_they_have(spark, make, vocabulary):
+    rng = random.Random(12)
+    texts = []
+    for length in (50, 55, 60, 80, 200):
+        for stop in (0, 7, 30):
+            words = sentence(rng, length, vocabulary).split()
+            passage = " ".join(w + "." if stop and k % stop == stop // 2 else w for k, w in enumerate(words))
+            texts += [f"{sentence(rng, rng.randint(20, 90), vocabulary)} {passage} {sentence(rng, rng.randint(20, 90), vocabulary)}" for _ in range(3)]
+    got = sub.dedup_substrings(make(texts)).toPandas().sort_values("doc_id")
+    for k, (text, out) in enumerate(zip(texts, got.text, strict=True)):
+        assert out == text if k % 3 == 0 else len(out.split()) <= len(text.split()) - sub.RUN_WORDS
+    grams = [{" ".join(w[i : i + 28]) for i in range(len(w) - 27)} for w in (t.lower().split() for t in got.text)]
+    assert sum(map(len, grams)) == len(set().union(*grams))
 
 
 def test_repeats_go_and_clean_text_stays(make, vocabulary):
@@ -167,6 +205,35 @@ def test_a_large_group_of_near_copies_is_one_class(make, vocabulary):
     assert got.text.iloc[0] == texts[0] and (got.text.iloc[1:] == "").all()
 
 
+@pytest.mark.parametrize("cell", [4, 1024])
+def test_classes_equal_those_of_all_pairs_that_share_a_band(make, vocabulary, cell):
+    rng = random.Random(13)
+    texts = []
+    for size in (2, 9, 40):
+        base = sentence(rng, 60, vocabulary).split()
+        for k in range(size):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(60)] = f"other{k}"
+            texts.append(" ".join(w))
+    every = sub.passages(make(texts))
+    got = {r["p"]: r["c"] for r in sub.classes(every, cell=cell).collect()}
+    own = {r["p"]: (set(r["bands"]), set(np.frombuffer(r["sh"], np.uint32).tolist())) for r in every.where("sh is not null").collect()}
+    comp = {p: p for p in own}
+
+    def root(p):
+        while comp[p] != p:
+            p = comp[p]
+        return p
+
+    for p, (bands, x) in own.items():
+        for q, (others, y) in own.items():
+            if p < q and bands & others and len(x & y) >= 0.8 * len(x | y) - 1e-9:
+                a, b = root(p), root(q)
+                comp[max(a, b)] = min(a, b)
+    assert got == {p: root(p) for p in own if any(q != p and root(q) == root(p) for q in own)}
+
+
 # --- decontamination
 
 

@@ -1,24 +1,32 @@
-"""Substring dedup: paragraph MinHash banding, down to sentences.
-
-A paragraph is a line. It is cut into units: at sentence ends, and where more
-than ``LONG_UNIT`` words have none, after words that a hash picks, so that cuts
-depend on the words around them and fall alike wherever a passage is embedded.
-
-Paragraphs of ``BAND_WORDS`` words or more are cut into five-word shingles and
-banded by MinHash, bands tuned to a recall of 0.99 at the threshold. Those that
-collide in a band are candidates against the band's first paragraph and
-against their predecessor in it: a group of any size gives two candidates a
-member, streamed in sorted order and never gathered. Exact Jaccard on the
-shingle sets (as 32-bit hashes) verifies them; components of verified links are
-classes of paragraphs. Equal units (by lower-cased words) are found by hash.
-
-Of each class, and of each repeated unit, the document with the smallest
-doc_id keeps its own; in every other document it occurs again. A run of
-neighbouring units that occur again goes if it has ``RUN_WORDS`` words or more,
-so passages that repeat go, also within or across lines, and short stock lines
-stay. Repeats inside one document are left alone.
-
-Rows: a null text has no units and stays null; rows with a null doc_id are left
+"""Substring dedup: paragraph MinHash banding, and exact repeats inside paragraphs.
+
+A paragraph is a line. Paragraphs of ``BAND_WORDS`` words or more are cut into
+five-word shingles and banded by MinHash, bands tuned to a recall of 0.99 at
+the threshold. Different paragraphs that collide in a band are candidates:
+first against the band's first paragraph and against their predecessor in it,
+two candidates a member, streamed in sorted order. Where these leave a band
+with several classes, every paragraph outside its largest class is compared
+with all of the band, which is dealt over cells of about ``CELL`` paragraphs
+that the others stream past; a cell returns links that join classes, never all
+pairs. So whatever its size no group is gathered, and no link is lost that a
+band brings together. Exact Jaccard on the shingle sets (as 32-bit hashes)
+verifies; components of verified links are classes of paragraphs, and equal
+paragraphs are one.
+
+Passages inside paragraphs are found by winnowing: of every ``WINNOW``
+neighbouring windows of ``WINDOW`` words, the one with the least hash is
+looked up. Which windows these are depends on the words alone, so they fall
+alike wherever a passage is embedded, across lines too: any run of
+``WINDOW + WINNOW - 1`` words that two documents share has one in common, and
+all of the run but at most ``WINNOW - 1`` words at either end is covered.
+
+Of each class, and of each repeated window, the document with the smallest
+doc_id keeps its own; in every other document it occurs again. A run of words
+that occur again goes if it has ``RUN_WORDS`` words or more, which every shared
+run of 50 words leads to; short stock lines stay. Repeats inside one document
+are left alone. Words are compared lower-cased.
+
+Rows: a null text has no words and stays null; rows with a null doc_id are left
 as they are. Repeated rows (same id) are one document. An empty table gives an
 empty result. Extra columns stay; a document that repeats wholly becomes the
 empty text. Whole texts count, however long.
@@ -28,7 +36,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,31 +47,16 @@ from pyspark.sql import functions as F
 from .common import components, maybe_broadcast, small, stash
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
+#: Words of a looked-up window, and neighbouring windows of which one is looked up.
+WINDOW, WINNOW = 16, 12
 #: Words that a paragraph needs to be banded, and a run to be removed.
-BAND_WORDS, RUN_WORDS = 20, 32
-#: Units with more words are cut further, after one word in CUT_RATE.
-LONG_UNIT, CUT_RATE = 48, 12
-#: Paragraph hashes that a task remembers so as to band equal paragraphs once.
+BAND_WORDS, RUN_WORDS = 20, 28
+#: Paragraphs of a band that one cell holds, about.
+CELL = 1024
+#: Paragraph hashes, and word hashes, that a task remembers.
 REMEMBERED = 1 << 20
-_ENDS = re.compile(r"(?<=[.!?]\s)|(?<=\n)")
-_WORDS = re.compile(r"\s*\S+\s*")
-
-
-def pieces(text: str) -> list[str]:
-    """The units of a text in order; joined, they are the text."""
-    out: list[str] = []
-    for piece in _ENDS.split(text):
-        if piece.count(" ") < LONG_UNIT:
-            out.append(piece)
-            continue
-        own = ""
-        for word in _WORDS.findall(piece):
-            own += word
-            if zlib.crc32(word.strip().lower().encode("utf-8", "replace")) % CUT_RATE == 0:
-                out.append(own)
-                own = ""
-        out.append(own)
-    return [p for p in out if p]
+_WORD = re.compile(r"\S+")
+_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
 def tune(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 10) -> tuple[int, int]:
@@ -76,11 +68,47 @@ def tune(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 10) -
     return most, 1
 
 
-def shingles(words: list[str]) -> np.ndarray:
-    """The sorted distinct 32-bit hashes of a paragraph's five-word shingles."""
-    n = max(1, len(words) - SHINGLE + 1)
-    h = xxhash.xxh32_intdigest
-    return np.unique(np.fromiter((h(" ".join(words[i : i + SHINGLE]).encode("utf-8", "replace")) for i in range(n)), np.uint32, n))
+def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """A 64-bit hash of each word; known remembers those of the task so far."""
+    if len(known) > REMEMBERED:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def rolled(h: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``width`` words, from the words' hashes; empty for fewer words."""
+    n = len(h) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for k in range(width):
+        out = out * np.uint64(_BASE) + h[k : k + n]
+    out = (out ^ (out >> np.uint64(32))) * _MIX
+    return out ^ (out >> np.uint64(29))
+
+
+def shingles(h: np.ndarray) -> np.ndarray:
+    """The sorted distinct 32-bit hashes of a paragraph's five-word shingles, from its words' hashes."""
+    return np.unique((rolled(h, min(SHINGLE, len(h))) >> np.uint64(32)).astype(np.uint32))
+
+
+def winnowed(h: np.ndarray, width: int = WINDOW, among: int = WINNOW) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the windows to look up: the least of every ``among`` neighbours.
+
+    Of a row of equal windows, which one word repeated gives, one in ``among`` and the last stay.
+    """
+    keys = rolled(h, width)
+    if len(keys) <= among:
+        at = np.array([keys.argmin()]) if len(keys) else np.zeros(0, np.int64)
+        return at, keys[at]
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(keys, among).argmin(1) + np.arange(len(keys) - among + 1))
+    got = keys[at]
+    goes_on = np.concatenate([[False], (got[1:] == got[:-1]) & (np.diff(at) == 1)])
+    turn = np.arange(len(at)) - np.maximum.accumulate(np.where(goes_on, 0, np.arange(len(at))))
+    stays = (turn % among == 0) | ~np.concatenate([goes_on[1:], [False]])
+    return at[stays], got[stays]
 
 
 def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
@@ -100,50 +128,50 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def units(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, v, pos, last, n, p, bands, sh): units (last null) and banded paragraphs (pos to last).
+def passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, v, pos, last, p, bands, sh): windows to look up (last null) and banded paragraphs (words pos to last).
 
-    v tells texts of one id apart, pos counts the units with words, n words, p
-    is the hash of the words. Band keys and shingles come where a task first
-    meets a paragraph.
+    v tells texts of one id apart, p is the hash of the words. Band keys and
+    shingles come where a task first meets a paragraph.
     """
     bands, rows = tune(threshold)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    digest = xxhash.xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
+        known: dict[str, int] = {}
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                at, pos, last, n, p, sets = [], [], [], [], [], []
+                size, pos, keys = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                line_at, line_pos, line_last, line_key, sets = [], [], [], [], []
                 for d, text in enumerate(part.column("text").to_pylist()):
-                    place, begun, line = 0, 0, []
-                    every = pieces(text or "")
-                    for i, piece in enumerate(every):
-                        words = piece.lower().split()
-                        if words:
-                            at.append(d), pos.append(place), last.append(None), n.append(len(words)), p.append(digest(" ".join(words).encode("utf-8", "replace"))), sets.append(None)
-                            place += 1
-                            line += words
-                        if piece[-1] == "\n" or i == len(every) - 1:
-                            if len(line) >= BAND_WORDS:
-                                key = digest(" ".join(line).encode("utf-8", "replace"))
-                                at.append(d), pos.append(begun), last.append(place - 1), n.append(len(line)), p.append(key)
-                                if len(met) >= REMEMBERED:
-                                    met.clear()
-                                sets.append(None if key in met else shingles(line))
-                                met.add(key)
-                            begun, line = place, []
+                    lines = [line.split() for line in (text or "").lower().split("\n")]
+                    h = word_hashes([w for line in lines for w in line], known)
+                    at, got = winnowed(h)
+                    size.append(len(at)), pos.append(at), keys.append(got)
+                    begun = 0
+                    for line in lines:
+                        if len(line) >= BAND_WORDS:
+                            own = h[begun : begun + len(line)]
+                            key = xxhash.xxh64_intdigest(own.tobytes())
+                            if len(met) >= REMEMBERED:
+                                met.clear()
+                            line_at.append(d), line_pos.append(begun), line_last.append(begun + len(line) - 1), line_key.append(key)
+                            sets.append(None if key in met else shingles(own))
+                            met.add(key)
+                        begun += len(line)
                 real = [x for x in sets if x is not None]
-                keys = iter(band_keys(real, bands, rows) if real else [])
-                take = pa.array(at, pa.int64())
+                banded = iter(band_keys(real, bands, rows) if real else [])
+                none = [None] * sum(size)
+                take = pa.array(np.concatenate([np.repeat(np.arange(len(size)), size), np.array(line_at, np.int64)]).astype(np.int64))
+                p = np.concatenate([*keys, np.array(line_key, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(take), part.column("v").take(take), pa.array(pos, pa.int32()), pa.array(last, pa.int32()), pa.array(n, pa.int32()), pa.array(np.array(p, np.uint64).view(np.int64)), pa.array([None if x is None else next(keys) for x in sets], pa.list_(pa.int64())), pa.array([None if x is None else x.tobytes() for x in sets], pa.binary())],
-                    names=["doc_id", "v", "pos", "last", "n", "p", "bands", "sh"],
+                    [part.column("doc_id").take(take), part.column("v").take(take), pa.array(np.concatenate([*pos, np.array(line_pos, np.int64)]).astype(np.int32)), pa.array(none + line_last, pa.int32()), pa.array(p), pa.array(none + [None if x is None else next(banded) for x in sets], pa.list_(pa.int64())), pa.array(none + [None if x is None else x.tobytes() for x in sets], pa.binary())],
+                    names=["doc_id", "v", "pos", "last", "p", "bands", "sh"],
                 )
 
-    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", _variant().alias("v"), "text").mapInArrow(run, f"doc_id {kind}, v int, pos int, last int, n int, p bigint, bands array<bigint>, sh binary")
+    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", _variant().alias("v"), "text").mapInArrow(run, f"doc_id {kind}, v int, pos int, last int, p bigint, bands array<bigint>, sh binary")
 
 
 def _variant() -> Column:
@@ -161,33 +189,36 @@ def _later(each: DataFrame, key: str) -> DataFrame:
     return each.join(stash(first, "first"), key).where("doc_id > first")
 
 
-def candidates(banded: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of hashes that meet in a band: each with the band's first and with its predecessor."""
+def met(banded: DataFrame) -> DataFrame:
+    """(band, p, head, prev): every paragraph that is not the first of its band, with the first and its predecessor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band = first = last = None
+        band = head = last = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             bs, ps = batch.column("band").to_numpy(), batch.column("p").to_numpy()
-            same = np.concatenate([[len(bs) > 0 and band == bs[0]], bs[1:] == bs[:-1]]) if len(bs) else np.zeros(0, bool)
-            prev = np.concatenate([[last if last is not None else 0], ps[:-1]]) if len(ps) else ps
-            at = np.maximum.accumulate(np.where(same, -1, np.arange(len(bs)))) if len(bs) else np.zeros(0, int)
-            head = np.where(at >= 0, ps[at], first if first is not None else 0)
+            same = np.concatenate([[band is not None and band == bs[0]], bs[1:] == bs[:-1]])
+            prev = np.concatenate([[last if last is not None else 0], ps[:-1]])
+            at = np.maximum.accumulate(np.where(same, -1, np.arange(len(bs))))
+            heads = np.where(at >= 0, ps[at], head if head is not None else 0)
             use = same & (prev != ps)
-            a = np.concatenate([ps[use], ps[use & (head != prev)]])
-            b = np.concatenate([prev[use], head[use & (head != prev)]])
-            if len(bs):
-                band, first, last = bs[-1], head[-1], ps[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b).astype(np.int64)), pa.array(np.minimum(a, b).astype(np.int64))], names=["a", "b"])
+            band, head, last = bs[-1], heads[-1], ps[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (bs, ps, heads, prev)], names=["band", "p", "head", "prev"])
 
     rows = banded.where("bands is not null").select(F.explode("bands").alias("band"), "p")
-    return rows.repartition("band").sortWithinPartitions("band", "p").mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+    return rows.repartition("band").sortWithinPartitions("band", "p").mapInArrow(run, "band bigint, p bigint, head bigint, prev bigint")
 
 
-def verified(pairs: DataFrame, banded: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of at least the threshold."""
-    wanted = stash(pairs.select(F.col("a").alias("p")).union(pairs.select(F.col("b").alias("p"))).distinct(), "wanted")
+def shingle_sets(groups: DataFrame, banded: DataFrame) -> DataFrame:
+    """(p, sh) of the paragraphs that met others."""
+    wanted = stash(groups.select(F.explode(F.array("p", "head")).alias("p")).distinct(), "wanted")
     wanted = F.broadcast(wanted) if small(wanted, 1_000_000) else wanted
-    sets = stash(banded.where("sh is not null").select("p", "sh").join(wanted, "p", "left_semi").dropDuplicates(["p"]), "sets")
+    return banded.where("sh is not null").select("p", "sh").join(wanted, "p", "left_semi").dropDuplicates(["p"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of at least the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,44 +237,120 @@ def verified(pairs: DataFrame, banded: DataFrame, threshold: float = THRESHOLD)
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+class Cell:
+    """Paragraphs of one band, their shingles inverted."""
+
+    def __init__(self, p: list[int], c: list[int], sh: list[bytes]) -> None:
+        sets = [np.frombuffer(x, np.uint32) for x in sh]
+        self.p, self.c, self.size = np.array(p, np.int64), np.array(c, np.int64), np.array([len(x) for x in sets])
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.row = flat[order], row[order]
+
+    def links(self, c: int, sh: bytes, threshold: float) -> np.ndarray:
+        """The paragraphs of other classes that are similar enough, one of each class."""
+        x = np.frombuffer(sh, np.uint32)
+        lo, hi = np.searchsorted(self.flat, x, "left"), np.searchsorted(self.flat, x, "right")
+        n = hi - lo
+        rows = self.row[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        both = np.bincount(rows, minlength=len(self.p))
+        hit = np.flatnonzero((both >= threshold * (len(x) + self.size - both) - 1e-9) & (self.c != c))
+        return self.p[hit[np.unique(self.c[hit], return_index=True)[1]]]
+
+
+def rest(groups: DataFrame, comp: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:
+    """Links (a, b) between classes of comp(p, c) that meet in a band."""
+    members = groups.select("band", "p").union(groups.select("band", "head")).distinct().join(comp, "p", "left")
+    members = stash(members.select("band", "p", F.coalesce("c", "p").alias("c")), "members")
+    each = members.groupBy("band", "c").agg(F.count("*").alias("n"))
+    mixed = each.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    mixed = stash(mixed.select("band", "main", F.ceil(F.col("n") / cell).cast("int").alias("g")), "mixed")
+    tagged = members.join(mixed, "band")
+    own = tagged.select("band", F.pmod(F.xxhash64("p"), F.col("g")).cast("int").alias("cell"), F.lit(False).alias("query"), "p", "c")
+    others = tagged.where("c <> main").select("band", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("cell"), F.lit(True).alias("query"), "p", "c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, index = None, [], None
+        for batch in batches:
+            a, b = [], []
+            for band, at, query, p, c, sh in zip(*(batch.column(n).to_pylist() for n in ("band", "cell", "query", "p", "c", "sh")), strict=True):
+                if key != (band, at):
+                    key, held, index = (band, at), [], None
+                if not query:
+                    held.append((p, c, sh))
+                    continue
+                if index is None and held:
+                    index, held = Cell(*zip(*held, strict=True)), []
+                if index is not None:
+                    near = index.links(c, sh, threshold).tolist()
+                    a += [p] * len(near)
+                    b += near
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    feed = own.union(others).join(sets, "p").select("band", "cell", "query", "p", "c", "sh")
+    return feed.repartition("band", "cell").sortWithinPartitions("band", "cell", "query").mapInArrow(run, "a bigint, b bigint")
+
+
+def classes(banded: DataFrame, threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:
+    """(p, c): the class of every banded paragraph that links with a different one."""
+    groups = stash(met(banded), "met")
+    sets = stash(shingle_sets(groups, banded), "sets")
+    pairs = groups.select("p", F.explode(F.array("head", "prev")).alias("q")).where("p <> q")
+    pairs = pairs.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
+    near = stash(verified(pairs, sets, threshold), "near")
+    comp = stash(components(near).withColumnsRenamed({"node": "p", "component": "c"}), "classes")
+    more = stash(rest(groups, comp, sets, threshold, cell), "more")
+    if more.isEmpty():
+        return comp
+    # a component's own links are kept by its members' links to its least
+    links = comp.select(F.col("p").alias("a"), F.col("c").alias("b")).union(more)
+    return stash(components(links).withColumnsRenamed({"node": "p", "component": "c"}), "classes")
+
+
 def repeats(docs: DataFrame, threshold: float = THRESHOLD, run_words: int = RUN_WORDS) -> DataFrame:
-    """(doc_id, v, gone, removed_words): the units that go from each document that loses any."""
-    every = stash(units(docs, threshold), "units")
-    links = verified(stash(candidates(every), "candidates"), every, threshold)
-    comp = stash(components(links).withColumnsRenamed({"node": "p", "component": "c"}), "classes")
-    # v, pos and n travel as one number
-    packed = F.col("v").cast("long") * (1 << 48) + F.col("pos").cast("long") * (1 << 16) + F.least("n", F.lit(0xFFFF))
-    single = _later(every.where("last is null").select("p", "doc_id", packed.alias("at")), "p")
-    single = single.select("doc_id", F.shiftright("at", 48).cast("int").alias("v"), (F.shiftright("at", 16) % (1 << 32)).cast("int").alias("pos"), (F.col("at") % (1 << 16)).cast("int").alias("n"))
-    lines = every.where("last is not null").select("p", "doc_id", "v", "pos", "last", "n").join(comp, "p")
-    # a paragraph's words lie on its first unit, in place of those its units have
-    place = F.explode(F.sequence("pos", "last")).alias("at")
-    lines = _later(lines.drop("p"), "c").select("doc_id", "v", "pos", "n", place).select("doc_id", "v", F.col("at").alias("pos"), F.when(F.col("at") == F.col("pos"), F.col("n")).otherwise(0).alias("whole"))
-    again = single.withColumn("whole", F.lit(None).cast("int")).unionByName(lines.withColumn("n", F.lit(0)))
-    again = again.groupBy("doc_id", "v", "pos").agg(F.coalesce(F.max("whole"), F.max("n")).alias("n"))
-    runs = again.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "v").orderBy("pos")))
-    runs = runs.groupBy("doc_id", "v", "run").agg(F.sort_array(F.collect_list("pos")).alias("gone"), F.sum("n").alias("words")).where(F.col("words") >= run_words)
-    return runs.groupBy("doc_id", "v").agg(F.sort_array(F.flatten(F.collect_list("gone"))).alias("gone"), F.sum("words").cast("long").alias("removed_words"))
+    """(doc_id, v, gone, removed_words): the runs of words that go from each document that loses
+    any, as the first word of each and the word after its last, in order."""
+    every = stash(passages(docs, threshold), "passages")
+    comp = classes(every, threshold)
+    # v and pos travel as one number
+    place = (F.col("v").cast("long") * (1 << 32) + F.col("pos")).alias("at")
+    single = _later(every.where("last is null").select("p", "doc_id", place), "p")
+    pos = (F.col("at") % (1 << 32)).cast("int")
+    single = single.select("doc_id", F.shiftright("at", 32).cast("int").alias("v"), pos.alias("s"), (pos + WINDOW).alias("e"))
+    lines = every.where("last is not null").select("p", "doc_id", place, (F.col("last") - F.col("pos") + 1).alias("n")).join(comp, "p", "left")
+    lines = _later(lines.select(F.coalesce("c", "p").alias("c"), "doc_id", "at", "n"), "c")
+    lines = lines.select("doc_id", F.shiftright("at", 32).cast("int").alias("v"), pos.alias("s"), (pos + F.col("n")).alias("e"))
+    again = single.unionByName(lines).groupBy("doc_id", "v", "s").agg(F.max("e").alias("e"))
+    # a run ends where no earlier part of it reaches the next
+    order = Window.partitionBy("doc_id", "v").orderBy("s")
+    before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = again.withColumn("new", F.coalesce((F.col("s") > before).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
+    runs = runs.groupBy("doc_id", "v", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).where(F.col("e") - F.col("s") >= run_words)
+    gone = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("s", "e"))), lambda r: F.array(r.s, r.e)))
+    return runs.groupBy("doc_id", "v").agg(gone.alias("gone"), F.sum(F.col("e") - F.col("s")).cast("long").alias("removed_words"))
 
 
 def without(text: str | None, gone: list[int] | None) -> str | None:
-    """A text without the units at the given places."""
+    """A text without the runs of words given by the first word of each and the word after its last.
+
+    What follows a run moves up to it; a line end at the run's end stays one.
+    """
     if text is None or not gone:
         return text
-    drop, place, kept = set(gone), 0, []
-    for piece in pieces(text):
-        if piece.strip():
-            if place not in drop:
-                kept.append(piece)
-            place += 1
-        else:
-            kept.append(piece)
-    return "".join(kept) if place > len(drop) else ""
+    span = [m.span() for m in _WORD.finditer(text)]
+    out, done, left = "", 0, len(span)
+    for s, e in zip(gone[::2], gone[1::2], strict=True):
+        out += text[done : span[s][0]]
+        done = span[e][0] if e < len(span) else len(text)
+        if "\n" in text[span[e - 1][1] : done] and out.strip() and not out.rstrip(" \t\r").endswith("\n"):
+            out = out.rstrip(" \t\r") + "\n"
+        left -= e - s
+    return out + text[done:] if left else ""
 
 
 def dedup_substrings(docs: DataFrame, threshold: float = THRESHOLD, run_words: int = RUN_WORDS) -> DataFrame:
     """docs with repeated passages removed from text, and two columns more: _removed
-    (array of removed units) and _removed_words."""
+    (runs of words, each by its first word and the word after its last) and _removed_words."""
     gone = stash(repeats(docs, threshold, run_words).withColumnsRenamed({"doc_id": "__tw_d", "v": "__tw_v", "gone": "__tw_gone", "removed_words": "__tw_words"}), "gone")
     out = docs.join(maybe_broadcast(gone), (F.col("doc_id") == F.col("__tw_d")) & (_variant() == F.col("__tw_v")), "left").drop("__tw_d", "__tw_v")
     names = [f"c{k}" for k in range(len(out.columns))]
