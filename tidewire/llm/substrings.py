@@ -6,8 +6,8 @@ the threshold. Different paragraphs that collide in a band are candidates:
 first against the band's first paragraph and against their predecessor in it,
 two candidates a member, streamed in sorted order. Where these leave a band
 with several classes, every paragraph outside its largest class is compared
-with all of the band, which is dealt over cells of about ``CELL`` paragraphs
-that the others stream past; a cell returns links that join classes, never all
+with all of the band: both are dealt into blocks of about ``CELL`` paragraphs,
+and a cell compares two blocks and returns links that join classes, never all
 pairs. So whatever its size no group is gathered, and no link is lost that a
 band brings together. Exact Jaccard on the shingle sets (as 32-bit hashes)
 verifies; components of verified links are classes of paragraphs, and equal
@@ -51,8 +51,8 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
 WINDOW, WINNOW = 16, 12
 #: Words that a paragraph needs to be banded, and a run to be removed.
 BAND_WORDS, RUN_WORDS = 20, 28
-#: Paragraphs of a band that one cell holds, about.
-CELL = 1024
+#: Paragraphs of a band that one cell holds, and that stream past it, about.
+CELL = 512
 #: Paragraph hashes, and word hashes, that a task remembers.
 REMEMBERED = 1 << 20
 _WORD = re.compile(r"\S+")
@@ -263,19 +263,21 @@ def rest(groups: DataFrame, comp: DataFrame, sets: DataFrame, threshold: float =
     members = groups.select("band", "p").union(groups.select("band", "head")).distinct().join(comp, "p", "left")
     members = stash(members.select("band", "p", F.coalesce("c", "p").alias("c")), "members")
     each = members.groupBy("band", "c").agg(F.count("*").alias("n"))
-    mixed = each.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
-    mixed = stash(mixed.select("band", "main", F.ceil(F.col("n") / cell).cast("int").alias("g")), "mixed")
+    mixed = each.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    mixed = stash(mixed.select("band", "main", F.ceil(F.col("n") / cell).cast("int").alias("g"), F.ceil(F.col("others") / cell).cast("int").alias("blocks")), "mixed")
     tagged = members.join(mixed, "band")
-    own = tagged.select("band", F.pmod(F.xxhash64("p"), F.col("g")).cast("int").alias("cell"), F.lit(False).alias("query"), "p", "c")
-    others = tagged.where("c <> main").select("band", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("cell"), F.lit(True).alias("query"), "p", "c")
+    names = ["band", "cell", "block", "query", "p", "c", "sh"]
+    block = F.pmod(F.xxhash64(F.lit("block"), "p"), F.col("blocks")).cast("int")
+    own = tagged.select("band", F.pmod(F.xxhash64("p"), F.col("g")).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("query"), "p", "c")
+    others = tagged.where("c <> main").select("band", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("cell"), block.alias("block"), F.lit(True).alias("query"), "p", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, index = None, [], None
         for batch in batches:
             a, b = [], []
-            for band, at, query, p, c, sh in zip(*(batch.column(n).to_pylist() for n in ("band", "cell", "query", "p", "c", "sh")), strict=True):
-                if key != (band, at):
-                    key, held, index = (band, at), [], None
+            for *at, query, p, c, sh in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if key != at:
+                    key, held, index = at, [], None
                 if not query:
                     held.append((p, c, sh))
                     continue
@@ -287,8 +289,8 @@ def rest(groups: DataFrame, comp: DataFrame, sets: DataFrame, threshold: float =
                     b += near
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    feed = own.union(others).join(sets, "p").select("band", "cell", "query", "p", "c", "sh")
-    return feed.repartition("band", "cell").sortWithinPartitions("band", "cell", "query").mapInArrow(run, "a bigint, b bigint")
+    feed = own.union(others).join(sets, "p").select(*names)
+    return feed.repartition("band", "cell", "block").sortWithinPartitions("band", "cell", "block", "query").mapInArrow(run, "a bigint, b bigint")
 
 
 def classes(banded: DataFrame, threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:
