@@ -156,6 +156,28 @@ def test_passages_inside_prose_go_whatever_sentences_they_have(spark, make, voca
     assert sum(map(len, grams)) == len(set().union(*grams))
 
 
+def test_shared_runs_go_to_their_true_ends(make, vocabulary):
+    rng = random.Random(14)
+    prose = lambda n: sentence(rng, n, vocabulary)
+    texts = []
+    for length in (28, 30, 35, 41, 49, 50, 75):
+        passage = prose(length)
+        texts += [f"{prose(rng.randint(20, 90))} {passage} {prose(rng.randint(20, 90))}" for _ in range(3)]
+    # runs that the second and third document share beyond what the first has
+    for more in (1, 5, 11, 20):
+        passage, left, right = prose(40), prose(more), prose(more)
+        texts += [f"{prose(30)} {passage} {prose(30)}", *(f"{prose(30)} {left} {passage} {right} {prose(30)}" for _ in range(2))]
+    seen, want = set(), []
+    for text in texts:
+        w = text.split()
+        grams = [" ".join(w[i : i + sub.RUN_WORDS]) for i in range(len(w) - sub.RUN_WORDS + 1)]
+        goes = {k for i, g in enumerate(grams) if g in seen for k in range(i, i + sub.RUN_WORDS)}
+        want.append(" ".join(x for k, x in enumerate(w) if k not in goes))
+        seen.update(grams)
+    got = sub.dedup_substrings(make(texts)).toPandas().sort_values("doc_id")
+    assert [t.split() for t in got.text] == [t.split() for t in want]
+
+
 def test_repeats_go_and_clean_text_stays(make, vocabulary):
     rng = random.Random(9)
     clean = ["\n".join(sentence(rng, 12, vocabulary).capitalize() + "." for _ in range(6)) for _ in range(5)]

@@ -18,13 +18,16 @@ neighbouring windows of ``WINDOW`` words, the one with the least hash is
 looked up. Which windows these are depends on the words alone, so they fall
 alike wherever a passage is embedded, across lines too: any run of
 ``WINDOW + WINNOW - 1`` words that two documents share has one in common, and
-all of the run but at most ``WINNOW - 1`` words at either end is covered.
+all of the run but at most ``WINNOW - 1`` words at either end is covered. So
+where words that occur again end, a second look-up takes every window near the
+windows found there, in each document that has these, and finds the run's true
+ends: all of it is covered.
 
 Of each class, and of each repeated window, the document with the smallest
 doc_id keeps its own; in every other document it occurs again. A run of words
-that occur again goes if it has ``RUN_WORDS`` words or more, which every shared
-run of 50 words leads to; short stock lines stay. Repeats inside one document
-are left alone. Words are compared lower-cased.
+that occur again goes if it has ``RUN_WORDS`` words or more, as every shared run
+of so many does; short stock lines stay. Repeats inside one document are left
+alone. Words are compared lower-cased.
 
 Rows: a null text has no words and stays null; rows with a null doc_id are left
 as they are. Repeated rows (same id) are one document. An empty table gives an
@@ -77,14 +80,14 @@ def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def rolled(h: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``width`` words, from the words' hashes; empty for fewer words."""
+def rolled(h: np.ndarray, width: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each run of ``width`` words (or of those that start at ``at``), from the words' hashes; empty for fewer words."""
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.zeros(n if at is None else len(at), np.uint64)
     for k in range(width):
-        out = out * np.uint64(_BASE) + h[k : k + n]
+        out = out * np.uint64(_BASE) + (h[k : k + n] if at is None else h[at + k])
     out = (out ^ (out >> np.uint64(32))) * _MIX
     return out ^ (out >> np.uint64(29))
 
@@ -179,14 +182,63 @@ def _variant() -> Column:
     return F.pmod(F.xxhash64("text"), F.lit(1 << 15)).cast("int")
 
 
-def _later(each: DataFrame, key: str) -> DataFrame:
-    """The rows of each whose key occurs in a document with a smaller id.
+def _shared(each: DataFrame, key: str) -> DataFrame:
+    """The rows of each whose key occurs in several documents, with the first of these.
 
     Both sides shuffle by the key at every size; adaptive execution splits the
     keys that very many rows share.
     """
     first = each.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most")).where("first < most").select(key, "first")
-    return each.join(stash(first, "first"), key).where("doc_id > first")
+    return each.join(stash(first, "first"), key)
+
+
+def _later(each: DataFrame, key: str) -> DataFrame:
+    """The rows of each whose key occurs in a document with a smaller id."""
+    return _shared(each, key).where("doc_id > first")
+
+
+def ends(shared: DataFrame) -> DataFrame:
+    """(p, after, before): windows of shared(p, doc_id, at, later) near whose end, or start, what occurs again ends.
+
+    Which of them another document has in common is open near the end of a run,
+    so all that start less than ``WINNOW`` words from the outermost count.
+    """
+    order = Window.partitionBy("doc_id", "v").orderBy("pos")
+    own = shared.where("later").select("p", "doc_id", F.shiftright("at", 32).cast("int").alias("v"), (F.col("at") % (1 << 32)).cast("int").alias("pos"))
+    own = own.withColumn("last", F.coalesce(F.lead("pos").over(order) > F.col("pos") + WINDOW, F.lit(True)))
+    own = own.withColumn("head", F.coalesce(F.col("pos") > F.lag("pos").over(order) + WINDOW, F.lit(True)))
+    own = own.select("p", F.max("last").over(order.rangeBetween(0, WINNOW - 1)).alias("after"), F.max("head").over(order.rangeBetween(1 - WINNOW, 0)).alias("before"))
+    return own.where("after or before").groupBy("p").agg(F.max("after").alias("after"), F.max("before").alias("before"))
+
+
+def bordering(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(p, doc_id, at): every window that starts less than ``WINNOW`` words after, or before, one of ends(shared), in all documents."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    where = shared.join(maybe_broadcast(stash(ends(shared), "ends")), "p")
+    code = (F.col("at") % (1 << 32)) * 4 + F.col("after").cast("int") * 2 + F.col("before").cast("int")
+    where = where.groupBy(F.col("doc_id").alias("d"), F.shiftright("at", 32).cast("int").alias("w")).agg(F.collect_set(code).alias("codes"))
+    near = np.arange(1, WINNOW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                starts, hashes, at, begun = [], [], [], 0
+                for text, codes in zip(part.column("text").to_pylist(), part.column("codes").to_pylist(), strict=True):
+                    h = word_hashes(text.lower().split(), known)
+                    x = np.array(codes, np.int64)
+                    s = np.unique(np.concatenate([np.add.outer(x[x & 2 > 0] >> 2, near).ravel(), np.subtract.outer(x[x & 1 > 0] >> 2, near).ravel()]))
+                    at.append(s[(s >= 0) & (s <= len(h) - WINDOW)])
+                    starts.append(at[-1] + begun), hashes.append(h)
+                    begun += len(h)
+                take = pa.array(np.repeat(np.arange(len(at)), [len(s) for s in at]))
+                p = rolled(np.concatenate(hashes), WINDOW, np.concatenate(starts))
+                yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), part.column("doc_id").take(take), part.column("v").take(take), pa.array(np.concatenate(at))], names=["p", "doc_id", "v", "pos"])
+
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", _variant().alias("v"), "text")
+    found = texts.join(maybe_broadcast(stash(where, "where")), (F.col("doc_id") == F.col("d")) & (F.col("v") == F.col("w"))).select("doc_id", "v", "text", "codes")
+    return found.mapInArrow(run, f"p bigint, doc_id {kind}, v int, pos bigint").select("p", "doc_id", (F.col("v").cast("long") * (1 << 32) + F.col("pos")).alias("at"))
 
 
 def met(banded: DataFrame) -> DataFrame:
@@ -316,7 +368,10 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, run_words: int = RUN_
     comp = classes(every, threshold)
     # v and pos travel as one number
     place = (F.col("v").cast("long") * (1 << 32) + F.col("pos")).alias("at")
-    single = _later(every.where("last is null").select("p", "doc_id", place), "p")
+    shared = _shared(every.where("last is null").select("p", "doc_id", place), "p")
+    shared = stash(shared.select("p", "doc_id", "at", (F.col("doc_id") > F.col("first")).alias("later")), "shared")
+    more = _later(stash(bordering(docs, shared), "bordering"), "p")
+    single = shared.where("later").select("doc_id", "at").union(more.select("doc_id", "at"))
     pos = (F.col("at") % (1 << 32)).cast("int")
     single = single.select("doc_id", F.shiftright("at", 32).cast("int").alias("v"), pos.alias("s"), (pos + WINDOW).alias("e"))
     lines = every.where("last is not null").select("p", "doc_id", place, (F.col("last") - F.col("pos") + 1).alias("n")).join(comp, "p", "left")
