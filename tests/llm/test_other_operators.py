@@ -212,3 +212,12 @@ def test_templates_generalise_and_purity_decides(spark):
     assert {tuple(r["tree"]) for r in tree.collect()} == {("spam", "*"), ("news", "*"), ("about",)}
     verdict = {tuple(r["t"]): r["rejected"] for r in urlfilter.judge(tree).collect()}
     assert verdict["spam", "*"] and not verdict["about",] and not any(v for k, v in verdict.items() if k[0] == "news")
+
+
+def test_labels_reach_urls_without_a_rule_where_branches_agree(spark):
+    rules = (("block", "spam.org", "/a/"), ("block", "spam.org", "/b/"), ("block", "one.org", "/a/"), ("block", "mixed.org", "/a/"), ("allow", "mixed.org", "/b/"))
+    urls = [f"http://{host}/{section}/{k}" for host in ("spam.org", "one.org", "mixed.org") for section in ("a", "b", "c") for k in range(20)] + ["http://spam.org/c/deep/er", "http://other.org/a/1"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {urls[r["page_id"]]: r["verdict"] for r in urlfilter.filter_urls(df, rules).where("rule is null").collect()}
+    # one.org has labels in one branch only, those of mixed.org differ
+    assert {u for u, v in got.items() if v == "block"} == {u for u in got if "spam.org" in u} and len(got) == 20 + 40 + 20 + 2
