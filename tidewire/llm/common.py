@@ -3,7 +3,10 @@ broadcasts, connected components and deterministic sampling."""
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,17 +16,23 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 
 
+_scopes = threading.local()
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables that driver and executors share.
 
-    It is spark.checkpoint.dir; only where that is unset (tests, local runs) a
-    folder under the warehouse directory is set and used.
+    It is spark.checkpoint.dir; where that is unset, a local session (tests)
+    sets and uses a folder under its warehouse, and a cluster is an error, as
+    no path that all its machines share can be guessed.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         ctx = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = ctx.get() if ctx.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
@@ -38,13 +47,54 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for scope in getattr(_scopes, "open", [])[-1:]:
+        scope.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _paths(df: DataFrame) -> str:
+    """The folders that a plan reads, end to end."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    of = lambda leaf: leaf.relation().location().rootPaths().mkString(" ") if leaf.getClass().getSimpleName() == "LogicalRelation" else ""
+    return " ".join(of(leaves.apply(k)) for k in range(leaves.size()))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that, when it returns, deletes the tables it stashed, but for those its result reads."""
+
+    @wraps(operator)
+    def run(*args, **kw) -> DataFrame:
+        _scopes.open = [*getattr(_scopes, "open", []), made := []]
+        try:
+            out = operator(*args, **kw)
+        finally:
+            _scopes.open = _scopes.open[:-1]
+        read = _paths(out)
+        for spark, path in made:
+            if path.rsplit("/", 1)[1] not in read:
+                _delete(spark, path)
+            else:
+                for scope in _scopes.open[-1:]:
+                    scope.append((spark, path))
+        return out
+
+    return run
+
+
+def free(*stashed: DataFrame) -> None:
+    """Delete stashed tables that nothing will read again."""
+    for df in stashed:
+        _delete(df.sparkSession, _paths(df))
+
+
 def release(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables; call when results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all of this application's intermediate tables; call when results are written."""
+    _delete(spark, work_dir(spark))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, nbytes: int = BROADCAST_BYTES) -> bool:
@@ -99,11 +149,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .agg(F.min("m").alias("m")),
             "low",
         )
-        e = e.join(low, e.b == low.u).select("a", F.col("m").alias("b")).distinct()
-        e = stash(e, "edges")
+        old = e
+        e = stash(e.join(low, e.b == low.u).select("a", F.col("m").alias("b")).distinct(), "edges")
+        free(old, low)
         # small star: a node's lower neighbours and itself move to the least of them
         low = stash(e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
-        up = e.join(low.select(F.col("a").alias("u"), "m"), F.col("a") == F.col("u"))
+        up, old = e.join(low.select(F.col("a").alias("u"), "m"), F.col("a") == F.col("u")), e
         e = stash(
             up.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(low.select("a", F.col("m").alias("b")))
@@ -111,6 +162,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct(),
             "edges",
         )
+        free(old, low)
         many, total = e.groupBy("a").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
         if many <= 1 and (not total or e.join(e.select(F.col("a").alias("r")), F.col("b") == F.col("r"), "left_semi").isEmpty()):
             break
