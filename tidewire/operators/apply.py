@@ -125,11 +125,15 @@ def apply_batch(target: DataFrame, events: DataFrame, cursors: DataFrame, spec:
     concerns them.
     """
     e = passing(valid(events), mode)
-    e = cursor_order(e) if polled else e
-    e = fresh(e, cursors)
-    last = (fold_per_key if fold else last_per_key)(e, spec)
+    e = fresh(cursor_order(e) if polled else e, cursors)
+    return settle(target, e, spec, mode, fold), final_cursors(e)
+
+
+def settle(target: DataFrame, alive: DataFrame, spec: TableSpec, mode: Mode | str = Mode.UPSERT, fold: bool = False) -> DataFrame:
+    """target, or the part of it with the events' keys, after one peer's events that are not stale."""
+    last = (fold_per_key if fold else last_per_key)(alive, spec)
     only = mode == Mode.INSERT_ONLY
-    return merge(target, last, spec, allow_update=not only, updates=not only), final_cursors(e)
+    return merge(target, last, spec, allow_update=not only, updates=not only)
 
 
 def save_cursors(cursors: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..functions.numbering import number_rows, number_within
 from ..spec import Mode, Op, PeerSpec, TableSpec
 
 
@@ -43,27 +44,43 @@ def fan_out(events: DataFrame, peers: list[str]) -> DataFrame:
 
 
 def batches(events: DataFrame, size: int) -> DataFrame:
-    """Events (_to, _tx, _table, _ord) with _batch from 0 within peer and transaction, and _key.
+    """Events (_tx, _table, _ord) with _batch from 0 within a transaction, and _key.
 
     Polling pages (empty _tx) belong to the table of their first event,
-    transactions to the key '' that all tables share. Groups are one
-    transaction or one page of a peer, so they stay small.
+    transactions to the key '' that all tables share. Where there are columns
+    _to (events already fanned out) and _page (pages of one poll), they part
+    groups as well. A transaction of any size is numbered in parallel.
     """
-    by = Window.partitionBy("_to", "_tx").orderBy("_ord")
-    first = F.first("_table").over(by)
-    return events.withColumns({"_batch": F.floor((F.row_number().over(by) - 1) / size).cast("bigint"), "_key": F.when(F.col("_tx") == "", first).otherwise(F.lit(""))})
+    by = [c for c in ("_to", "_tx", "_page") if c in events.columns]
+    numbered = number_within(events, by, ["_ord"], "_at")
+    first = events.where("_tx = ''").groupBy(*by).agg(F.min_by("_table", "_ord").alias("_first_table"))
+    first = first.withColumnsRenamed({c: f"_k_{c}" for c in by})
+    same = None
+    for c in by:
+        one = F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        same = one if same is None else same & one
+    batch = F.floor((F.col("_at") - 1) / size).cast("bigint")
+    return numbered.join(first, same, "left").withColumns({"_batch": batch, "_key": F.coalesce("_first_table", F.lit(""))}).drop("_at", "_first_table", *[f"_k_{c}" for c in by])
 
 
-def sequence(batch_rows: DataFrame, counters: DataFrame) -> DataFrame:
-    """Distinct batches (_to, _key, _tx, _batch, _first) with the next sequences of (_to, _key).
+def allocate(batch_rows: DataFrame, counters: DataFrame, start: int = 0) -> DataFrame:
+    """Distinct batches (_to, _key, _tx, _batch, _first) with an id after ``start`` and the next sequences of (_to, _key).
 
     counters(peer_region, table_name, next_sequence) holds the next free number;
-    a pair that it lacks starts at 1.
+    a pair that it lacks starts at 1. The rows are sorted whole: give keys, and
+    join what is wide back.
     """
-    by = Window.partitionBy("_to", "_key").orderBy("_first", "_batch")
-    numbered = batch_rows.withColumn("_n", F.row_number().over(by))
+    by = ["_to", "_key"]
+    numbered = number_rows(batch_rows, [*by, "_first", "_batch"], "id")
+    first = numbered.groupBy(*by).agg(F.min("id").alias("_least"))
     c = counters.select(F.col("peer_region").alias("_to"), F.col("table_name").alias("_key"), "next_sequence")
-    return numbered.join(c, ["_to", "_key"], "left").withColumn("sequence", F.coalesce("next_sequence", F.lit(1)) + F.col("_n") - 1).drop("_n", "next_sequence")
+    at = first.join(c, by, "left").select(*by, (F.coalesce("next_sequence", F.lit(1)) - F.col("_least")).alias("_shift"))
+    return numbered.join(at, by).withColumns({"sequence": F.col("id") + F.col("_shift"), "id": F.col("id") + F.lit(start)}).drop("_shift")
+
+
+def sequence(batch_rows: DataFrame, counters: DataFrame) -> DataFrame:
+    """Distinct batches with the next sequences of their peer and table."""
+    return allocate(batch_rows, counters).drop("id")
 
 
 def next_counters(sequenced: DataFrame, counters: DataFrame) -> DataFrame:

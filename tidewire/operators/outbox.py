@@ -21,7 +21,7 @@ def valid(batch: DataFrame) -> Column:
 
 def consistent(batch: DataFrame) -> Column:
     """The stored last event id is that of the last event."""
-    return F.element_at("events", -1)["event_id"] == F.col("last_event_id")
+    return F.try_element_at("events", F.lit(-1))["event_id"] == F.col("last_event_id")
 
 
 def enqueue(outbox: DataFrame, incoming: DataFrame) -> DataFrame:

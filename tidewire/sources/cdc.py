@@ -18,6 +18,12 @@ def committed(log: DataFrame) -> DataFrame:
     return log.where("committed") if "committed" in log.columns else log
 
 
+def whole(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of transactions whose end is there, the rest): ``last`` is true in the row that ends one."""
+    done = log.groupBy("tx_id").agg(F.max("last").alias("done")).where("done").select("tx_id")
+    return log.join(done, "tx_id", "left_semi"), log.join(done, "tx_id", "left_anti")
+
+
 def relation(log: DataFrame, spec: TableSpec) -> DataFrame:
     """The changes of one configured table; other relations are dropped here."""
     return log.where(F.col("relation") == spec.name)

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import asdict, replace
 
 from ..spec import Lease, LeaseKind
+from .metrics import Meters
 from .state import StateStore
 
 
@@ -22,8 +23,17 @@ def _key(lease: Lease) -> str:
 class Leases:
     """The leases of one store; ``clock`` is the only clock for expiry and for tests of it."""
 
-    def __init__(self, store: StateStore, clock: Callable[[], float] = time.time) -> None:
-        self.store, self.clock = store, clock
+    def __init__(self, store: StateStore, clock: Callable[[], float] = time.time, meters: Meters | None = None) -> None:
+        self.store, self.clock, self.meters = store, clock, meters or Meters()
+
+    def _counted(self, what: str, act: Callable[[], Lease | None], none: str) -> Lease | None:
+        try:
+            got = act()
+        except Exception:
+            self.meters.add(f"lease_{what}_errors_total")
+            raise
+        self.meters.add(f"lease_{what}_{'ok' if got else none}_total")
+        return got
 
     def _change(self, act: Callable[[dict], None]) -> dict:
         def change(old: dict | None) -> dict:
@@ -46,8 +56,7 @@ class Leases:
             got[0] = replace(lease, generation=generation, expires_at=now + ttl)
             all_leases[_key(lease)] = asdict(got[0])
 
-        self._change(act)
-        return got[0]
+        return self._counted("acquire", lambda: (self._change(act), got[0])[1], "miss")
 
     def renew(self, lease: Lease, ttl: float) -> Lease | None:
         """Extend a lease that is still held: same owner and generation, not expired."""
@@ -60,8 +69,7 @@ class Leases:
                 got[0] = replace(lease, expires_at=now + ttl)
                 all_leases[_key(lease)] = asdict(got[0])
 
-        self._change(act)
-        return got[0]
+        return self._counted("renew", lambda: (self._change(act), got[0])[1], "lost")
 
     def release(self, lease: Lease) -> bool:
         done = [False]
@@ -93,11 +101,16 @@ class Leases:
         self._change(act)
         return gone[0]
 
-    def run(self, lease: Lease, work: Callable[[threading.Event], None], ttl: float, renew: float, stop: threading.Event, retry: float = 1.0) -> None:
+    def run(self, lease: Lease, work: Callable[[threading.Event], None], ttl: float, renew: float, stop: threading.Event, retry: float | Callable[[int], float] = 1.0) -> None:
         """Work while the lease is held: a miss waits one renewal, a lost lease sets the work's
-        event, errors are retried, PermanentError ends it."""
+        event, errors are retried after ``retry`` seconds (or what it says for the attempt),
+        PermanentError ends it."""
+        attempt = 0
         while not stop.is_set():
-            held = self.acquire(lease, ttl)
+            try:
+                held = self.acquire(lease, ttl)
+            except Exception:
+                held = None
             if held is None:
                 stop.wait(renew)
                 continue
@@ -105,7 +118,11 @@ class Leases:
 
             def keep(held: Lease = held, lost: threading.Event = lost, over: threading.Event = over) -> None:
                 while not over.wait(renew):
-                    if stop.is_set() or self.renew(held, ttl) is None:
+                    try:
+                        kept = None if stop.is_set() else self.renew(held, ttl)
+                    except Exception:
+                        kept = None
+                    if kept is None:
                         lost.set()
                         return
 
@@ -117,7 +134,8 @@ class Leases:
             except PermanentError:
                 raise
             except Exception:
-                stop.wait(retry)
+                stop.wait(retry(attempt) if callable(retry) else retry)
+                attempt += 1
             finally:
                 over.set()
                 thread.join()
