@@ -26,6 +26,15 @@ class Graph:
             at += step
             step = min(256, at)
 
+    def state(self) -> dict[str, np.ndarray]:
+        """What restore needs besides the vectors."""
+        return {"level": self.level, "at": np.array([self.entry, self.top, self.m, self.ef]), **{f"links{k}": x for k, x in enumerate(self.links)}}
+
+    def restore(self, x: np.ndarray, state: dict[str, np.ndarray]) -> None:
+        self.x, self.level = x, state["level"]
+        self.entry, self.top, self.m, self.ef = map(int, state["at"])
+        self.links = [state[f"links{k}"] for k in range(len(state) - 2)]
+
     def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of the ef best found for each query, best first, -1 where fewer."""
         out = [self._descend(q[k : k + step], ef) for step in [max(1, min(1024, VISITED // max(1, len(self.x))))] for k in range(0, len(q), step)]
