@@ -9,19 +9,25 @@ url is judged by a tree of path templates grown per host, on counts only:
 2. Level by level, the children of a node become one wildcard when they are
    many and mostly seen once (they vary; they do not name a section).
 3. A branch whose share of blocked labels does not differ from its parent's by
-   ``z`` standard errors is merged with it and takes its statistics. So does a
-   branch without labels where at least ``SIBLINGS`` branches beside it have
-   labels and all of these merged, with all that lies below it. Labels of one
-   branch alone say nothing of the others: a rule labels its own prefix only.
+   ``z`` standard errors is merged with it and takes its statistics. A branch
+   without labels has nothing to differ by and is merged as well, so what lies
+   below it takes the statistics of its nearest labelled ancestor.
 4. A template is rejected when its smoothed purity (blocked + a x prior) /
-   (labelled + a) reaches ``purity``; where no labels reach it is allowed.
+   (labelled + a) reaches ``purity``. prior is the share of blocked among all
+   labels; a host without any label has the prior itself.
 
-The tree has at most ``DEPTH`` levels; what lies deeper belongs to its node at
-that level. A host with a third of all urls is one key only after counting;
-joins back to urls are on (host, template), which adaptive execution splits.
+So a host where a rule blocks enough of the labelled urls is blocked whole,
+but for branches whose labels say otherwise.
+
+The tree has at most ``DEPTH`` levels; what lies deeper, and very long urls, go
+to the node at that level. A host with a third of all urls is one key only
+after counting; joins back to urls are on (host, template), which adaptive
+execution splits.
 
 Rows: a null url, or one without ``://``, has empty host and path and is judged
-like any other (no rule fits an empty path). Repeated rows give equal results.
+like any other (no rule fits an empty path). Of rules that fit, the longest
+wins, of equally long ones the first in order. Repeated rows give equal
+results. An empty table gives an empty result; without labels all is allowed.
 Extra columns are ignored.
 """
 
@@ -30,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stash
+from .common import maybe_broadcast, stash, tidy
 
 #: The query's rules, longest first: verdict, host, path.
 RULES = (("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("block", "net", "/"), ("allow", "org", "/fr/"))
@@ -38,8 +44,6 @@ DEPTH = 6
 #: A node's children vary when they are at least so many, with at most so many urls each on average.
 MANY_CHILDREN, FEW_URLS = 12, 3.0
 PURITY, STRENGTH, Z = 0.8, 2.0, 1.96
-#: Labelled branches that must be like their parent before one without labels is taken to be.
-SIBLINGS = 2
 _VARIABLE = r"^(?:\d+(?:[-_.]\d+)*|[0-9a-f]{8,}|[0-9a-f-]{32,}|.{40,})(?:\.[a-z0-9]{1,5})?$"
 
 
@@ -88,7 +92,7 @@ def grow(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return stash(tree, "tree")
 
 
-def judge(tree: DataFrame, depth: int = DEPTH, purity: float = PURITY, strength: float = STRENGTH, z: float = Z) -> DataFrame:
+def judge(tree: DataFrame, purity: float = PURITY, strength: float = STRENGTH, z: float = Z) -> DataFrame:
     """(host, t, rejected) for every counted template."""
     prior = tree.agg(F.sum("blocked") / F.greatest(F.sum("labelled"), F.lit(1))).first()[0] or 0.0
     nodes = stash(
@@ -97,29 +101,24 @@ def judge(tree: DataFrame, depth: int = DEPTH, purity: float = PURITY, strength:
         .agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")),
         "nodes",
     )
-    # top down: a branch keeps its own statistics only if it differs from its parent's
-    rate = nodes.where(F.size("node") == 0).select("host", "node", "b", "l", F.lit(False).alias("taken"))
+    # top down: a branch keeps its own statistics only if it has some that differ from its parent's
+    rate = nodes.where(F.size("node") == 0).select("host", "node", "b", "l")
     done = rate
     deepest = nodes.agg(F.max(F.size("node"))).first()[0] or 0
     for level in range(1, deepest + 1):
-        up = rate.select(F.col("host").alias("_h"), F.col("node").alias("_u"), F.col("b").alias("pb"), F.col("l").alias("pl"), F.col("taken").alias("_t"))
+        up = rate.select(F.col("host").alias("_h"), F.col("node").alias("_u"), F.col("b").alias("pb"), F.col("l").alias("pl"))
         own = nodes.where(F.size("node") == level).join(up, (F.col("host") == F.col("_h")) & (F.slice("node", 1, level - 1) == F.col("_u")))
         p = F.col("pb") / F.greatest(F.col("pl"), F.lit(1))
         spread = F.sqrt(p * (1 - p) / F.greatest(F.col("l"), F.lit(1)) + F.lit(1e-9))
-        merged = (F.col("l") > 0) & (F.abs(F.col("b") / F.greatest(F.col("l"), F.lit(1)) - p) <= z * spread)
-        own = stash(own.withColumn("merged", merged), "own")
-        # a branch without labels is like its parent where the branches that have some all are
-        alike = own.where("l > 0").groupBy(F.col("_h").alias("_ah"), F.col("_u").alias("_au")).agg(F.count("*").alias("k"), F.min("merged").alias("all")).where(F.col("all") & (F.col("k") >= SIBLINGS)).drop("k", "all")
-        own = own.join(maybe_broadcast(stash(alike, "alike")), (F.col("_h") == F.col("_ah")) & (F.col("_u") == F.col("_au")), "left")
-        taken = (F.col("l") == 0) & (F.col("_ah").isNotNull() | F.col("_t"))
-        like = F.col("merged") | taken
-        rate = stash(own.select("host", "node", F.when(like, F.col("pb")).otherwise(F.col("b")).alias("b"), F.when(like, F.col("pl")).otherwise(F.col("l")).alias("l"), taken.alias("taken")), "rate")
+        like = (F.col("l") == 0) | (F.abs(F.col("b") / F.greatest(F.col("l"), F.lit(1)) - p) <= z * spread)
+        rate = stash(own.select("host", "node", F.when(like, F.col("pb")).otherwise(F.col("b")).alias("b"), F.when(like, F.col("pl")).otherwise(F.col("l")).alias("l")), "rate")
         done = done.unionByName(rate)
     smoothed = (F.col("b") + strength * prior) / (F.col("l") + strength)
-    verdicts = stash(done.select(F.col("host").alias("_h"), F.col("node").alias("_n"), ((F.col("l") > 0) & (smoothed >= purity)).alias("rejected")), "verdicts")
+    verdicts = stash(done.select(F.col("host").alias("_h"), F.col("node").alias("_n"), (smoothed >= purity).alias("rejected")), "verdicts")
     return stash(tree.join(verdicts, (F.col("host") == F.col("_h")) & (F.col("tree") == F.col("_n"))).select("host", "t", "rejected"), "rejected")
 
 
+@tidy
 def filter_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict."""
     host, path = split_url(F.col("url"))
