@@ -6,17 +6,20 @@ their own numbers. Nyström features on ``landmarks`` texts feed one-versus-rest
 kernel ridge regression. Landmarks, whitening and ridge weights fold into one
 matrix, so a batch of texts is scored by one product of its presence matrix.
 
-Learns from rows with text and language whose id is not held out, at most
-``per_lang`` a language and ``MAX_LANGS`` languages (the commonest).
-
-Rows: a null text, or one without a letter, is ``und`` with score 0, as is
-every text when nothing could be learned. Equal texts get equal results.
+Learns from rows with text and language whose id is not held out: every
+language, each from at most ``PER_LANG`` rows, of all languages together about
+``SAMPLE`` rows, or ``LEAST_ROWS`` a language where these are more. There are
+``LANDMARKS`` landmarks, or one a language where these are more.
+
+Rows: a null or empty text, or one without a letter, is ``und`` with score 0,
+as is every text when nothing could be learned. Texts are read whole, very long
+ones in blocks. Equal and repeated texts get equal results; equally high
+outputs give the first language in order. Empty documents give an empty result.
 Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, tidy
 from .textmap import map_texts
 
 BITS = 15
-PER_LANG = 400
+PER_LANG, SAMPLE, LEAST_ROWS = 400, 6400, 8
 LANDMARKS = 160
-MAX_LANGS = 256
 #: Characters hashed at once, so that a very long text needs no large arrays.
 BLOCK = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def presence(text: str, out: np.ndarray) -> None:
@@ -56,11 +57,21 @@ def matrix(texts: list) -> np.ndarray:
     for row, t in zip(x, texts, strict=True):
         if t:
             presence(t, row)
-    return x / np.sqrt(np.maximum(1, x.sum(1)))[:, None]
+    return _normal(x)
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    x /= np.sqrt(np.maximum(1, x.sum(1)))[:, None]
+    return x
 
 
-def fit_matrix(x: np.ndarray, lang: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-2) -> tuple[list[str], np.ndarray]:
-    """(languages, weights): scores of normalised presence rows are rows @ weights."""
+def _unpacked(bits: np.ndarray) -> np.ndarray:
+    """Normalised presence rows of packed ones."""
+    return _normal(np.unpackbits(bits, axis=1).astype(np.float32))
+
+
+def fit_packed(bits: np.ndarray, lang: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-2) -> tuple[list[str], np.ndarray]:
+    """(languages, weights) of packed presence rows: scores of normalised presence rows are rows @ weights."""
     langs = sorted(set(lang))
     y = np.array([[1.0 if v == c else -1.0 for c in langs] for v in lang])
     rank = {}
@@ -68,26 +79,30 @@ def fit_matrix(x: np.ndarray, lang: list[str], landmarks: int = LANDMARKS, ridge
     for k, v in enumerate(lang):
         rank[v] = rank.get(v, 0) + 1
         order.append((rank[v], v, k))
-    mark = x[[k for *_, k in sorted(order)[:landmarks]]]
+    mark = _unpacked(bits[[k for *_, k in sorted(order)[: max(landmarks, len(langs))]]])
     kmm = (mark @ mark.T).astype(np.float64)
     value, vec = np.linalg.eigh(kmm)
     good = value > 1e-6 * value.max()
     white = vec[:, good] / np.sqrt(value[good])
-    z = (x @ mark.T).astype(np.float64) @ white
+    z = np.vstack([(_unpacked(bits[k : k + 256]) @ mark.T).astype(np.float64) @ white for k in range(0, len(bits), 256)])
     z1 = np.hstack([z, np.ones((len(z), 1))])
     # each language's rows weigh alike
-    share = np.array([1 / lang.count(v) for v in lang]) / len(langs)
+    share = np.array([1 / rank[v] for v in lang]) / len(langs)
     reg = ridge * np.eye(z1.shape[1]) * share.sum() / max(1, z1.shape[1])
     beta = np.linalg.solve((z1 * share[:, None]).T @ z1 + reg, (z1 * share[:, None]).T @ y)
     return langs, np.vstack([mark.T @ (white @ beta[:-1]), beta[-1:]]).astype(np.float32)
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -> tuple[list[str], np.ndarray] | None:
-    """Fit on a bounded sample: hashes of ids choose the rows, counted per language over all rows."""
+    """Fit on a bounded sample: hashes of ids choose the rows, counted per language over all rows.
+
+    A language with very few rows is taken whole; one whose draws fall short has at least its nearest.
+    """
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = usable.groupBy("lang").count().collect()
     if not counts:
         return None
+    per_lang = min(per_lang, max(LEAST_ROWS, SAMPLE // len(counts)))
     draw = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     rate = F.create_map(*[v for r in counts for v in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * per_lang / r["count"])))])
     picked = usable.select("doc_id", "lang", "text", draw.alias("draw")).where(F.col("draw") < rate[F.col("lang")])
@@ -99,15 +114,14 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -
         taken[r["lang"]] = taken.get(r["lang"], 0) + 1
         if taken[r["lang"]] <= per_lang:
             keep.append(r)
-    x = np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in keep]), axis=1).astype(np.float32)
-    return fit_matrix(x / np.sqrt(np.maximum(1, x.sum(1)))[:, None], [r["lang"] for r in keep], landmarks)
+    return fit_packed(np.array([np.frombuffer(r["bits"], np.uint8) for r in keep]), [r["lang"] for r in keep], landmarks)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None) -> DataFrame:
     """One row per document: doc_id, lang_pred, score (softmax of the ridge outputs)."""
 
     def run(texts: list) -> dict[str, list]:
-        known = [bool(t) and bool(_LETTER.search(t)) for t in texts]
+        known = [any(map(str.isalpha, t or "")) for t in texts]
         if model is None:
             return {"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts)}
         langs, w = model
@@ -120,6 +134,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None) -> Data
     return map_texts(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
+@tidy
 def identify(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     out = predict(docs, fit(docs))
