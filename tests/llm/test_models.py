@@ -6,8 +6,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidewire.llm import langid, quality, toxicity
+from tidewire.llm import langid, quality, textmap, toxicity
 from tidewire.llm.textmap import Rows
 
 from .conftest import sentence
@@ -121,3 +122,50 @@ def test_languages(spark):
     assert by.lang_pred[1003] == "en" and by.lang_pred[1004] == "fr" and len(got) == len(rows)
     assert set(langid.identify(docs.limit(9).selectExpr("doc_id", "text", "cast(null as string) lang")).toPandas().lang_pred) == {"und"}
     assert langid.identify(docs.limit(0)).count() == 0
+
+
+def test_every_language_is_learned_and_signs_are_no_letters(spark):
+    rng = random.Random(9)
+    names = [f"l{k:02d}" for k in range(24)]
+    words = {n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(6)] for n in names}
+    rows = [(k, " ".join(rng.choices(words[names[k % 24]], k=12)), names[k % 24]) for k in range(24 * 14)]
+    rows += [(9000 + k, t, "l00") for k, t in enumerate(["½ ² ①", "Ⅷ ٣", "_ 12", "   ", "", None])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, landmarks=4)  # fewer than languages: each has one all the same
+    got = langid.predict(docs, model).withColumn("held_out", textmap.held_out(F.col("doc_id"), 4, 2)).toPandas().set_index("doc_id")
+    assert all(got.lang_pred[9000 + k] == "und" and got.score[9000 + k] == 0 for k in range(6))
+    held = [k for k in range(24 * 14) if got.held_out[k]]
+    assert {got.lang_pred[k] for k in held} == set(names) and np.mean([got.lang_pred[k] == names[k % 24] for k in held]) > 0.9
+
+
+def test_repeated_ids_give_one_model_whatever_the_order(spark):
+    rows = [(k % 60, f"word{k % 7} text {k}", 9) for k in range(240)]
+    labels = spark.createDataFrame([(k, int(k % 7 < 3), 0) for k in range(60)], "doc_id bigint, quality int, toxic int")
+    kinds = "doc_id bigint, text string, n_chars bigint"
+    samples = [textmap.labelled_sample(spark.createDataFrame(r, kinds), labels, "quality", 40) for r in (rows, rows[::-1])]
+    one, two = (sorted(map(tuple, s.collect())) for s in samples)
+    assert one == two and len({r[0] for r in one}) == len(one) > 20
+
+
+def test_swaps_take_a_neutral_mention_off_the_score(spark):
+    # in the labels, toxic texts name one group far more often; with the penalty a mention counts less
+    rng = random.Random(4)
+    neutral = [f"{a} {b} {c}" for a in ("calm", "sunny", "plain") for b in ("river", "table", "window") for c in ("today", "again", "there")]
+    rows = []
+    for k in range(600):
+        bad = k % 2
+        text = f"{rng.choice(neutral)} {'vile scum filth' if bad and rng.random() < 0.8 else 'nice day'}"
+        rows.append((k, text + (" muslim people" if rng.random() < (0.9 if bad else 0.1) else " people")))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(600)], "doc_id bigint, quality int, toxic int")
+    probe = spark.createDataFrame([(1, "sunny table today muslim people"), (2, "sunny table today christian people"), (3, "vile scum filth today people"), (4, "sunny table today people")], "doc_id bigint, text string")
+    with_, without = (toxicity.score(probe, toxicity.fit(docs, labels, penalty=p)).toPandas().set_index("doc_id").score for p in (20.0, 0.0))
+    assert abs(with_[1] - with_[2]) < 0.1 < without[1] - without[2]
+    assert abs(with_[1] - with_[4]) < 0.1 < without[1] - without[4] and with_[3] > 0.5
+
+
+def test_quality_filter_of_nothing_and_clashing_names(labelled, make):
+    docs, labels, q, _ = labelled
+    kept = quality.quality_filter(docs, labels)
+    assert kept.columns == docs.columns and sum(q) - 5 <= kept.count() <= sum(q) + 12
+    assert quality.quality_filter(docs.limit(0), labels).count() == 0

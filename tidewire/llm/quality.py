@@ -9,7 +9,10 @@ scores every whole text.
 Rows: null and empty texts score like a text without words (their structure
 buckets say so); null metadata has a bucket of its own; equal texts with equal
 metadata score alike. With no usable labels, or labels of one class, every
-score is 0.5 or the class's smoothed rate. Extra columns are ignored.
+score is 0.5 or the class's smoothed rate; ties at the threshold count as 1.
+Very long texts are read whole, in batches of few rows. For the fit, of several
+texts of one id the one with the least hash counts. Empty documents give an
+empty result. Extra columns are ignored by the scores and kept by the filter.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, tidy
 from .textmap import Rows, labelled_sample, map_texts, sigmoid, slot
 
 #: Labelled rows that a fit takes at most.
@@ -177,6 +180,7 @@ def score(docs: DataFrame, model: FactorisationMachine, meta: list[str] | None =
     return made.mapInArrow(run, f"doc_id {kind}, score double")
 
 
+@tidy
 def classify(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = 0.3, meta: list[str] | None = None, bound: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (1 if score >= threshold)."""
     model = fit(docs, labels, target, meta, bound, share_of_ones(labels, target))
@@ -184,6 +188,7 @@ def classify(docs: DataFrame, labels: DataFrame, target: str = "quality", thresh
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+@tidy
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound: int = SAMPLE) -> DataFrame:
     """docs without the rows that the classifier rejects; scored in place, without a join."""
     meta = [c for c in ("n_chars",) if c in docs.columns]

@@ -40,7 +40,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int,
 
     Learns from labels whose id is not held out; which rows are taken depends
     on a hash of the id alone. The sample of ids is bounded by the parameter
-    and therefore broadcast. Repeated label rows count once (the larger label).
+    and therefore broadcast. Repeated label rows count once (the larger label);
+    of several texts of one id, the one with the least hash is taken, so that
+    a model does not depend on the order of rows.
     """
     known = (
         labels.select("doc_id", F.col(target).cast("int").alias("y"))
@@ -50,7 +52,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, bound: int,
     )
     order = [F.xxhash64(F.lit("sample"), "doc_id"), F.col("doc_id")]
     some = stash(known.where("y = 0").orderBy(*order).limit(bound // 2).unionAll(known.where("y = 1").orderBy(*order).limit(bound // 2)), "sample")
-    return docs.select("doc_id", "text", *[c for c in ("n_chars",) if c in docs.columns]).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+    more = [c for c in ("n_chars",) if c in docs.columns]
+    rows = docs.select("doc_id", "text", *more).join(F.broadcast(some), "doc_id")
+    one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", *more)).alias("r"))
+    return one.select("doc_id", "y", "r.text", *[f"r.{c}" for c in more])
 
 
 class Rows:

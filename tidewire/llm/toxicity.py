@@ -2,13 +2,16 @@
 
 A logistic model on the distinct words, and beginnings of words, of a whole text. For every labelled
 text that names a group, its identity terms are swapped for other terms of the
-same kind, and the squared change of the raw score is penalised, so that a
+same kind, and once for none, and the squared change of the raw score is penalised, so that a
 neutral mention cannot carry weight whatever the labels correlate with. It is
 fitted on at most ``bound`` labelled rows and scores every whole text.
 
 Rows: null and empty texts get the score of a text without words; equal texts
-score alike. Without usable labels every score is 0.5, with one class the
-smoothed rate. Extra columns are ignored.
+score alike, ties at the threshold count as 1. Very long texts are read whole,
+in batches of few rows. Without usable labels every score is 0.5, with one
+class the smoothed rate. Repeated documents are scored each; for the fit, of
+several texts of one id the one with the least hash counts. Empty documents
+give an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, tidy
 from .quality import share_of_ones
 from .textmap import Rows, labelled_sample, map_texts, sigmoid, slot, words
 
@@ -64,19 +67,21 @@ def partner(term: str, turn: int) -> str:
 
 def swaps(text: str | None) -> list[tuple[list[int], list[int]]]:
     """For each counterfactual, the features that go and those that come when every identity term is
-    swapped. Partners depend on the text, so that over many texts every term meets every other."""
+    swapped. Partners depend on the text, so that over many texts every term meets every other. The
+    last counterfactual has the terms left out, so that no mention counts, not just all mentions alike."""
     seen = set(words(text))
     if not _PLACE.keys() & seen:
         return []
     own, turn = _ids(seen), slot(text or "", 16)
-    others = [_ids({partner(w, turn + 7 * k) if w in _PLACE else w for w in seen}) for k in range(SWAPS)]
+    others = [_ids({partner(w, turn + 7 * k) if w in _PLACE else w for w in seen}) for k in range(SWAPS - 1)] + [_ids(seen - _PLACE.keys())]
     return [(np.setdiff1d(own, o).tolist(), np.setdiff1d(o, own).tolist()) for o in others]
 
 
 def fit_weights(x: list[np.ndarray], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], penalty: float = 20.0, decay: float = 3e-4, rounds: int = 300, prior: float | None = None) -> tuple[float, np.ndarray]:
     """(bias, weights) of logistic loss + decay |w|^2 + penalty * mean squared score change of the swaps.
 
-    Classes weigh alike; with ``prior`` the share of class 1 is put back into the bias.
+    Classes weigh alike; with ``prior``, the share of class 1, half of its log odds go back into the
+    bias: all of them would miss rare toxic texts, none would raise false alarms.
     """
     w = np.zeros(1 << BITS)
     share = (y.sum() + 1) / (len(y) + 2)
@@ -146,6 +151,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray]) -> DataFrame:
     return map_texts(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+@tidy
 def classify(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold: float = 0.5, bound: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (1 if score >= threshold)."""
     out = score(docs, fit(docs, labels, target, bound))
