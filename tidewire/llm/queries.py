@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,7 +68,9 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], rows.schema)
+    role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
+    values = {"conv_id": F.lit(-7), "turn": F.col("id"), "role": role, "text": F.lit(text)}
+    more = spark.range(2).select(*[values[f.name].cast(f.dataType).alias(f.name) for f in rows.schema])
     return digest(render(reconstruct(rows.unionByName(more))))
 
 
