@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, tidy
 
 MAX_LEN = 2048
 SEPARATOR = 0
@@ -199,6 +199,7 @@ def _bins(packed: DataFrame) -> int:
     return packed.where("offset = 0").count()
 
 
+@tidy
 def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k", max_len: int = MAX_LEN, per_partition: int = PER_PARTITION) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return pack(pieces(docs, tokenizer, max_len), max_len, per_partition)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, maybe_broadcast, stash
+from .common import components, maybe_broadcast, stash, tidy
 from .textmap import map_texts
 
 BITS = 64
@@ -142,6 +142,7 @@ def links(fps: DataFrame, threshold: int = 2, reach: int | None = None) -> DataF
     return met.where(F.size("fps") > 1).select("fps").mapInPandas(compare, "a bigint, b bigint").distinct()
 
 
+@tidy
 def simhash_components(docs: DataFrame, threshold: int = 2, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -157,6 +158,7 @@ def simhash_components(docs: DataFrame, threshold: int = 2, text: str = "text",
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@tidy
 def simhash_dedup(docs: DataFrame, threshold: int = 2, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with one row of each group kept: that of the smallest id (null ids last, then by text).
 
