@@ -4,7 +4,8 @@ A paragraph is a line. Paragraphs of ``BAND_WORDS`` words or more are cut into
 five-word shingles and banded by MinHash, bands tuned to a recall of 0.99 at
 the threshold. Different paragraphs that collide in a band are candidates:
 first against the band's first paragraph and against their predecessor in it,
-two candidates a member, streamed in sorted order. Where these leave a band
+two candidates a member, streamed in sorted order by ranges, so that a band may
+spread over tasks. Where these leave a band
 with several classes, every paragraph outside its largest class is compared
 with all of the band: both are dealt into blocks of about ``CELL`` paragraphs,
 and a cell compares two blocks and returns links that join classes, never all
@@ -26,7 +27,7 @@ ends: all of it is covered.
 Of each class, and of each repeated window, the document with the smallest
 doc_id keeps its own; in every other document it occurs again. A run of words
 that occur again goes if it has ``RUN_WORDS`` words or more, as every shared run
-of so many does; short stock lines stay. Repeats inside one document are left
+of so many does; shorter ones, such as stock lines and licenses, stay. Repeats inside one document are left
 alone. Words are compared lower-cased.
 
 Rows: a null text has no words and stays null; rows with a null doc_id are left
@@ -47,13 +48,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, maybe_broadcast, small, stash
+from .common import components, maybe_broadcast, small, stash, tidy
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
 #: Words of a looked-up window, and neighbouring windows of which one is looked up.
-WINDOW, WINNOW = 16, 12
+WINDOW, WINNOW = 24, 24
 #: Words that a paragraph needs to be banded, and a run to be removed.
-BAND_WORDS, RUN_WORDS = 20, 28
+BAND_WORDS, RUN_WORDS = 20, 50
 #: Paragraphs of a band that one cell holds, and that stream past it, about.
 CELL = 512
 #: Paragraph hashes, and word hashes, that a task remembers.
@@ -242,10 +243,15 @@ def bordering(docs: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def met(banded: DataFrame) -> DataFrame:
-    """(band, p, head, prev): every paragraph that is not the first of its band, with the first and its predecessor."""
+    """(band, p, head, prev): every paragraph that is not the first of its band, with the first and its predecessor.
+
+    Rows are dealt by ranges of (band, p), so a band of any size spreads over tasks. Where a band
+    goes on in the next task, each task has a first paragraph of its own; these then meet the least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = head = last = None
+        names = ["band", "p", "head", "prev"]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -255,11 +261,19 @@ def met(banded: DataFrame) -> DataFrame:
             at = np.maximum.accumulate(np.where(same, -1, np.arange(len(bs))))
             heads = np.where(at >= 0, ps[at], head if head is not None else 0)
             use = same & (prev != ps)
+            if band is None:
+                use[0], prev[0] = True, ps[0]  # the task's first band may have begun before
             band, head, last = bs[-1], heads[-1], ps[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (bs, ps, heads, prev)], names=["band", "p", "head", "prev"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (bs, ps, heads, prev)], names=names)
+        if band is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (band, head, head, head)], names=names)
 
     rows = banded.where("bands is not null").select(F.explode("bands").alias("band"), "p")
-    return rows.repartition("band").sortWithinPartitions("band", "p").mapInArrow(run, "band bigint, p bigint, head bigint, prev bigint")
+    each = stash(rows.repartitionByRange("band", "p").sortWithinPartitions("band", "p").mapInArrow(run, "band bigint, p bigint, head bigint, prev bigint"), "streamed")
+    firsts = each.select("band", "head").distinct()
+    least = firsts.groupBy("band").agg(F.min("head").alias("least"), F.max("head").alias("most")).where("least < most")
+    cut = firsts.join(least, "band").where("head <> least").select("band", F.col("head").alias("p"), F.col("least").alias("head"), F.col("least").alias("prev"))
+    return each.where("p <> head").unionByName(cut)
 
 
 def shingle_sets(groups: DataFrame, banded: DataFrame) -> DataFrame:
@@ -405,6 +419,7 @@ def without(text: str | None, gone: list[int] | None) -> str | None:
     return out + text[done:] if left else ""
 
 
+@tidy
 def dedup_substrings(docs: DataFrame, threshold: float = THRESHOLD, run_words: int = RUN_WORDS) -> DataFrame:
     """docs with repeated passages removed from text, and two columns more: _removed
     (runs of words, each by its first word and the word after its last) and _removed_words."""
