@@ -52,11 +52,12 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _paths(df: DataFrame) -> str:
-    """The folders that a plan reads, end to end."""
+def _paths(df: DataFrame) -> set[str]:
+    """The stashed tables that a plan reads; what else it reads is nobody's to delete here."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    of = lambda leaf: leaf.relation().location().rootPaths().mkString(" ") if leaf.getClass().getSimpleName() == "LogicalRelation" else ""
-    return " ".join(of(leaves.apply(k)) for k in range(leaves.size()))
+    of = lambda leaf: leaf.relation().location().rootPaths().mkString("\n").split("\n") if leaf.getClass().getSimpleName() == "LogicalRelation" else []
+    mine = f"/tables-{df.sparkSession.sparkContext.applicationId}/"
+    return {p for k in range(leaves.size()) for p in of(leaves.apply(k)) if mine in p}
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -74,7 +75,7 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             out = operator(*args, **kw)
         finally:
             _scopes.open = _scopes.open[:-1]
-        read = _paths(out)
+        read = {p.rsplit("/", 1)[1] for p in _paths(out)}
         for spark, path in made:
             if path.rsplit("/", 1)[1] not in read:
                 _delete(spark, path)
@@ -89,7 +90,8 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 def free(*stashed: DataFrame) -> None:
     """Delete stashed tables that nothing will read again."""
     for df in stashed:
-        _delete(df.sparkSession, _paths(df))
+        for path in _paths(df):
+            _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
