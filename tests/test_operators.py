@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from datetime import datetime
 
@@ -347,3 +348,36 @@ def test_config_rejects(old, new):
     assert old in GOOD
     with pytest.raises(ValueError):
         config.parse(GOOD.replace(old, new, 1), {"HOST": "h"})
+
+
+@pytest.mark.parametrize("seal", [True, False])
+def test_no_plan_shows_a_key(spark, seal):
+    c = F.concat(F.lit("v"), F.col("id").cast("string"))
+    made = spark.range(3).select((aead.encrypt if seal else aead.decrypt)(c, K1).alias("x"))
+    plan = made._jdf.queryExecution().toString()
+    assert K1.hex() not in plan.lower() and K1.decode("latin1") not in plan
+
+
+def test_transactions_wait_for_their_end(spark):
+    from tidewire.sources import cdc
+
+    log = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("b", 3, False), ("c", 4, None)], "tx_id string, ord bigint, last boolean")
+    whole, rest = cdc.whole(log)
+    assert [r["ord"] for r in whole.orderBy("ord").collect()] == [1, 2] and [r["ord"] for r in rest.orderBy("ord").collect()] == [3, 4]
+
+
+def test_numbers_within_groups_of_any_size(spark):
+    rows = [(g, k) for g, n in ((None, 3), ("a", 40), ("b", 1)) for k in range(n)]
+    got = numbering.number_within(spark.createDataFrame(rows, "g string, k int").repartition(5), ["g"], ["k"], "n").collect()
+    assert len(got) == len(rows) and all(r["n"] == r["k"] + 1 for r in got)
+
+
+def test_durable_tables_go_with_their_scope(spark):
+    with numbering.scope():
+        kept = numbering.durable(spark.range(3))
+        assert kept.count() == 3
+        files = kept.inputFiles()
+        with numbering.scope():
+            inner = numbering.durable(spark.range(2)).inputFiles()
+        assert not any(os.path.exists(f.removeprefix("file://")) for f in inner) and os.path.exists(files[0].removeprefix("file://"))
+    assert not os.path.exists(files[0].removeprefix("file://"))

@@ -6,6 +6,7 @@ keys, so that keys recur and versions tie. Ties are cut by feed_id.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -13,9 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aead, keys
+from ..functions.numbering import durable, work_dir
 from ..operators import apply, changefeed, jobs, outbox, transform
 from ..sources import cdc, polling, snapshot
-from ..spec import Mode, TableSpec, TransformerSpec
+from ..spec import Config, JobStatus, Mode, PeerSpec, TableSpec, TransformerSpec, columns
+from ..streaming.engine import Engine, bootstrap, deliver
+from ..streaming.lease import Leases
+from ..streaming.session import exchange
+from ..streaming.state import StateStore
 from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,9 +224,9 @@ def capture_cursor(spark: SparkSession, d: str) -> DataFrame:
 # --- merges: users are the target, one event a user
 
 _ACCOUNTS = TableSpec("users", ("c_custkey",), "owner")
-#: Two users in three exist; one in five of those has no owner.
+#: Two users in three exist, one in five of those without an owner; all others come in, and most of these.
 _TARGET_SQL = "target AS (SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE owner END AS owner FROM users WHERE c_custkey % 3 > 0)"
-_IN_SQL = f"incoming AS (SELECT c_custkey, c_name || '-new' AS c_name, c_acctbal + 1 AS c_acctbal, CASE c_custkey % 4 WHEN 0 THEN 'insert' WHEN 1 THEN 'upsert' WHEN 2 THEN 'update' ELSE 'delete' END AS op, CASE WHEN c_custkey % 7 = 0 THEN '{REGION}' ELSE owner END AS peer FROM users WHERE c_custkey % 11 > 2)"
+_IN_SQL = f"incoming AS (SELECT c_custkey, c_name || '-new' AS c_name, c_acctbal + 1 AS c_acctbal, CASE c_custkey % 4 WHEN 0 THEN 'insert' WHEN 1 THEN 'upsert' WHEN 2 THEN 'update' ELSE 'delete' END AS op, CASE WHEN c_custkey % 7 = 0 THEN '{REGION}' ELSE owner END AS peer FROM users WHERE c_custkey % 3 = 0 OR c_custkey % 11 > 2)"
 _MERGE = f"{T.sql('users')}, {_TARGET_SQL}, {_IN_SQL}"
 _JOIN = "FROM target t FULL JOIN i ON t.c_custkey = i.c_custkey"
 
@@ -233,7 +239,7 @@ def _target(spark: SparkSession, d: str) -> DataFrame:
 def _incoming(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     op = F.element_at(F.array(*[F.lit(x) for x in ("insert", "upsert", "update", "delete")]), (k % 4 + 1).cast("int"))
-    u = T.users(spark, d).where("c_custkey % 11 > 2")
+    u = T.users(spark, d).where("c_custkey % 3 = 0 or c_custkey % 11 > 2")
     return u.select("c_custkey", F.concat("c_name", F.lit("-new")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"), "owner", op.alias("_op"), F.when(k % 7 == 0, F.lit(REGION)).otherwise(F.col("owner")).alias("_peer"), F.when(k % 8 == 2, F.array(F.lit("c_acctbal"))).otherwise(F.array(F.lit("c_name"), F.lit("c_acctbal"))).alias("_changed"))
 
 
@@ -468,11 +474,21 @@ def handshake_diff(spark: SparkSession, d: str) -> DataFrame:
 
 # --- encryption and metadata
 
-@_query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+_ALGORITHMS = (aead.AES, aead.CHACHA, aead.XCHACHA)
+
+
+@_query("SELECT c_custkey, algorithm, c_name, true AS hidden, true AS fresh_nonce, true AS whole FROM customer CROSS JOIN (VALUES " + ", ".join(f"('{a}')" for a in _ALGORITHMS) + ") v(algorithm)")
 def crypto_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    c = T.read(spark, d, "customer")
-    twice = [aead.decrypt(aead.encrypt(F.col(x), KEY), KEY).alias(x) for x in ("c_name", "c_mktsegment")]
-    return c.select("c_custkey", *twice)
+    """Twice encrypted, once decrypted: no cipher text shows the name or comes twice, and none is shorter than nonce, text and tag."""
+    c = T.read(spark, d, "customer").select("c_custkey", "c_name")
+    out = None
+    for a in _ALGORITHMS:
+        # in one plan, equal expressions would be evaluated once
+        sealed = durable(durable(c.withColumn("one", aead.encrypt(F.col("c_name"), KEY, a))).withColumn("two", aead.encrypt(F.col("c_name"), KEY, a)))
+        least = F.octet_length("c_name") + (24 if a == aead.XCHACHA else 12) + 16
+        row = sealed.select("c_custkey", F.lit(a).alias("algorithm"), aead.decrypt(F.col("one"), KEY, a).alias("c_name"), (~F.col("one").contains(F.col("c_name")) & (F.col("one") != F.base64("c_name"))).alias("hidden"), (F.col("one") != F.col("two")).alias("fresh_nonce"), (F.octet_length(F.unbase64("one")) == least).alias("whole"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 _FIELDS = [TransformerSpec("users", ("name",), "k")]
@@ -506,11 +522,89 @@ def pk_codec(spark: SparkSession, d: str) -> DataFrame:
     return p.select("o_orderkey", keys.pk_json(keys.parse_pk(text)).alias("pk_json"))
 
 
-@_query("SELECT event_id, upper(to_hex(event_id * 100003)) AS low, event_id * 100003 AS position FROM events")
+@_query("""SELECT conv_id, turn, role, '[{"column":"conv_id","type":"integer","json_value":"' || conv_id::VARCHAR || '"},{"column":"role","type":"string","json_value":"\\"' || role || '\\""},{"column":"late","type":"boolean","json_value":"' || (turn > 2)::VARCHAR || '"}]' AS pk_json, role AS back, turn > 2 AS late_back FROM conversations""")
+def pk_codec_kinds(spark: SparkSession, d: str) -> DataFrame:
+    c = T.read(spark, d, "conversations").withColumn("late", F.col("turn") > 2)
+    text = keys.pk_json(keys.pk_array(TableSpec("turns", ("conv_id", "role", "late"), "owner"), c.schema))
+    pk = keys.parse_pk(text)
+    return c.select("conv_id", "turn", "role", text.alias("pk_json"), F.get_json_object(F.concat(F.lit('{"v":'), pk[1]["str_value"], F.lit("}")), "$.v").alias("back"), pk[2]["bool_value"].alias("late_back"))
+
+
+@_query("""SELECT conv_id, turn, '{"conv_id":' || conv_id::VARCHAR || ',"role":"' || role || '"}' AS pk_object FROM conversations""")
+def pk_as_object(spark: SparkSession, d: str) -> DataFrame:
+    c = T.read(spark, d, "conversations")
+    pk = keys.pk_object(keys.pk_array(TableSpec("turns", ("conv_id", "role"), "owner"), c.schema))
+    parts = F.transform(F.map_entries(pk), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"]))
+    return c.select("conv_id", "turn", F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("pk_object"))
+
+
+@_query("""SELECT o_orderkey, o_orderkey::VARCHAR AS as_integer, CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS as_boolean, '"' || o_orderpriority || '"' AS as_string FROM orders""")
+def typed_key_text(spark: SparkSession, d: str) -> DataFrame:
+    o, k = T.read(spark, d, "orders"), F.col("o_orderkey")
+    flag = F.when(k % 4 == 0, F.lit("t")).when(k % 4 == 2, F.lit("1")).when(k % 4 == 1, F.lit("FALSE")).otherwise(F.lit("f"))
+    return o.select("o_orderkey", keys.typed_text(k.cast("string"), "integer").alias("as_integer"), keys.typed_text(flag, "boolean").alias("as_boolean"), keys.typed_text(F.col("o_orderpriority"), "string").alias("as_string"))
+
+
+@_query("SELECT event_id, upper(to_hex(event_id * 100003 + 1)) || '/' || upper(to_hex(event_id * 7919 % 4294967296)) AS text, (event_id * 100003 + 1) * 4294967296 + event_id * 7919 % 4294967296 AS position FROM events")
 def lsn_codec(spark: SparkSession, d: str) -> DataFrame:
-    e = T.read(spark, d, "events")
-    text = keys.lsn_text(F.col("event_id") * 100003)
-    return e.select("event_id", F.split(text, "/")[1].alias("low"), keys.lsn_number(text).alias("position"))
+    k = F.col("event_id")
+    text = keys.lsn_text((k * 100003 + 1) * F.lit(1 << 32) + k * 7919 % (1 << 32))
+    return T.read(spark, d, "events").select("event_id", text.alias("text"), keys.lsn_number(text).alias("position"))
+
+
+_COLUMNS = [("region", "r_regionkey", "bigint"), ("region", "r_name", "string"), ("nation", "n_name", "string"), ("nation", "n_nationkey", "bigint")]
+
+
+@_query("""SELECT '[{"name":"nation","columns":[{"name":"n_name","data_type":"string"},{"name":"n_nationkey","data_type":"bigint"}]},{"name":"region","columns":[{"name":"r_name","data_type":"string"},{"name":"r_regionkey","data_type":"bigint"}]}]' AS config""")
+def handshake_config(spark: SparkSession, d: str) -> DataFrame:
+    return keys.handshake_version(spark.createDataFrame(_COLUMNS, "table_name string, column_name string, data_type string"))
+
+
+@_query("SELECT * FROM (VALUES ('turns', 'conv_id', 'bigint', 1, 'integer'), ('turns', 'turn', 'int', NULL, NULL), ('turns', 'role', 'string', 2, 'string'), ('turns', 'text', 'string', NULL, NULL)) v(table_name, column_name, data_type, key_at, key_type)")
+def column_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    turns = TableSpec("turns", ("conv_id", "role"), "owner")
+    return columns(spark, [turns], {"turns": T.read(spark, d, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), "role", "text").schema})
+
+
+# --- a change log: each payment is inserted, updated or deleted in transactions of 50 keys, every ninth of them open
+
+def _log(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    p, k = T.payments(spark, d).drop("o_custkey", "o_orderdate"), F.col("o_orderkey")
+    row = F.struct("o_orderkey", "o_orderstatus", "o_totalprice", "owner")
+    new = F.struct("o_orderkey", F.lit("Z").alias("o_orderstatus"), "o_totalprice", "owner")
+    none = F.lit(None).cast(T.payments(spark, d).select(row.alias("r")).schema["r"].dataType)
+    old = none if kind == "insert" else row
+    tx = F.floor(k / 50)
+    return p.select(F.when(k % 13 == 0, F.lit("elsewhere")).otherwise(F.lit("payments")).alias("relation"), F.lit(kind).alias("kind"), old.alias("old"), (none if kind == "delete" else new if kind == "update" else row).alias("new"), F.lit(None).cast("array<string>").alias("toast"), (tx % 9 > 0).alias("committed"), tx.cast("string").alias("tx_id"), k.alias("ord"), k.alias("version"))
+
+
+def _decoded(kind: str, status: str, price: str, n_changed: str) -> None:
+    def decode(spark: SparkSession, d: str) -> DataFrame:
+        out = cdc.decode(_log(spark, d, kind), T.PAYMENTS, REGION)
+        return out.select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("_op").alias("op"), F.col("_tx").alias("tx"), F.size("_changed").cast("bigint").alias("n_changed"))
+
+    decode.__name__ = f"cdc_{kind}"
+    _query(f"{T.sql('payments')} SELECT o_orderkey, {status} AS o_orderstatus, {price} AS o_totalprice, '{kind}' AS op, (o_orderkey // 50)::VARCHAR AS tx, {n_changed}::BIGINT AS n_changed FROM payments WHERE owner = '{REGION}' AND o_orderkey % 13 > 0 AND (o_orderkey // 50) % 9 > 0")(decode)
+
+
+_decoded("insert", "o_orderstatus", "o_totalprice", "4")
+_decoded("update", "'Z'", "o_totalprice", "4")
+_decoded("delete", "NULL::VARCHAR", "NULL::DOUBLE", "1")
+
+
+@_query(f"{_BOX}, made AS (SELECT id, CASE WHEN id % 5 = 0 THEN '' ELSE peer_region END AS peer_region, CASE WHEN id % 7 = 0 THEN 0 ELSE sequence END AS sequence, id % 11 <> 0 AS has_events, id % 3 <> 0 AS named FROM box) SELECT id, peer_region <> '' AND sequence > 0 AND has_events AS valid, has_events AND named AS consistent FROM made")
+def batch_validity(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("id")
+    events = F.when(k % 11 != 0, F.array(F.struct(F.lit("first").alias("event_id")), F.struct(F.col("last_event_id").alias("event_id")))).otherwise(F.array().cast("array<struct<event_id string>>"))
+    b = _box(spark, d).withColumn("events", events)
+    b = b.withColumns({"peer_region": F.when(k % 5 != 0, F.col("peer_region")).otherwise(F.lit("")), "sequence": F.when(k % 7 != 0, F.col("sequence")).otherwise(F.lit(0)), "last_event_id": F.when(k % 3 != 0, F.col("last_event_id")).otherwise(F.lit("another"))})
+    return b.select("id", outbox.valid(b).alias("valid"), F.coalesce(outbox.consistent(b), F.lit(False)).alias("consistent"))
+
+
+@_query(f"{_RANKED}, top AS (SELECT owner, max(version) AS version FROM ranked GROUP BY owner) SELECT r_name AS peer_region, coalesce(version, 3)::BIGINT AS last_version FROM region LEFT JOIN top ON owner = r_name AND r_name <> 'ASIA'")
+def cursor_saves(spark: SparkSession, d: str) -> DataFrame:
+    new = apply.final_cursors(_events(spark, d).where("_peer <> 'ASIA'"))
+    return apply.save_cursors(_cursors(spark, d, 3), new).select("peer_region", "last_version")
 
 
 # --- two regions: each polls its own users and the other applies them
@@ -530,3 +624,111 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
         row = merged.agg(F.lit(region).alias("region"), F.count("*").alias("n_rows"), F.sum("c_custkey").alias("key_sum"), F.countDistinct("owner").alias("owners"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+# --- the same through two engines: stores, sessions, transformers, metrics
+
+_SIDES = ("EUROPE", "ASIA")
+_PERSON = TableSpec("users", ("c_custkey",), "owner", "updated_at")
+_KEYS = {"EUROPE": b"E" * 32, "ASIA": b"A" * 32}
+
+
+def _people(spark: SparkSession, d: str) -> DataFrame:
+    at = F.timestamp_seconds(F.col("c_custkey") + 1_700_000_000)
+    return T.users(spark, d).select("c_custkey", "c_name", "c_acctbal", "owner", at.alias("updated_at"))
+
+
+def _engines(spark: SparkSession, d: str, **more: object) -> tuple[Engine, Engine]:
+    """Two regions, each with its own users, names encrypted with its own key."""
+    root, people = f"{work_dir(spark)}/engines-{uuid.uuid4().hex}", _people(spark, d)
+    out = []
+    for region, other in (_SIDES, _SIDES[::-1]):
+        secret = TransformerSpec("users", ("c_name",), "k", aead.AES)
+        cfg = Config(region, [_PERSON], [PeerSpec(other, "store")], [secret], **{"source_type": "polling", "apply_mode": Mode.FULL_SYNC, "chunk_size": 100, **more})
+        e = Engine(spark, cfg, StateStore(spark, f"{root}/{region}"), {"users": people.schema}, clock=lambda: NOW, ring={"k": _KEYS[region]})
+        e.write("users", people.where(F.col("owner") == region).withColumn("c_name", aead.encrypt(keys.json_fragment(F.col("c_name")), _KEYS[region])))
+        out.append(e)
+    return out[0], out[1]
+
+
+def _held(e: Engine) -> DataFrame:
+    name = F.get_json_object(F.concat(F.lit('{"v":'), aead.decrypt(F.col("c_name"), _KEYS[e.config.region]), F.lit("}")), "$.v")
+    return e.table("users").select(F.lit(e.config.region).alias("region"), "c_custkey", name.alias("c_name"), "c_acctbal", "owner", keys.version_of(F.col("updated_at")).alias("version"))
+
+
+_BOTH = f"{T.sql('users')}, sides AS (SELECT * FROM (VALUES ('EUROPE'), ('ASIA')) v(region)), held AS (SELECT region, c_custkey, c_name, c_acctbal, owner, (c_custkey + 1700000000) * 1000000 AS version FROM users CROSS JOIN sides WHERE owner IN ('EUROPE', 'ASIA'))"
+
+
+@_query(f"{_BOTH} SELECT * FROM held")
+def engine_live(spark: SparkSession, d: str) -> DataFrame:
+    """All users polled on both sides, staged, served, applied and acknowledged."""
+    a, b = _engines(spark, d)
+    for e in (a, b):
+        e.capture("users", polling.Cursor())
+    for source, target in ((a, b), (b, a)):
+        while deliver(source, target):
+            pass
+    return _held(a).unionByName(_held(b))
+
+
+@_query(f"{_BOTH} SELECT * FROM held")
+def engine_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """The same by sessions: handshake, snapshots, replay. What was staged before comes again and is stale or equal."""
+    a, b = _engines(spark, d)
+    b.capture("users", polling.Cursor())
+    exchange(a, b, Leases(a.store), "pod")
+    exchange(b, a)
+    return _held(a).unionByName(_held(b))
+
+
+@_query(f"{_BOTH}, n AS (SELECT count(*) FILTER (owner = 'EUROPE') AS mine FROM users) SELECT * FROM (SELECT 'changefeed_events_total' AS name, mine::DOUBLE AS value FROM n UNION ALL SELECT 'changefeed_batches_total', ceil(mine / 250.0) FROM n UNION ALL SELECT 'apply_applied_total', mine FROM n UNION ALL SELECT 'apply_stale_total', mine FROM n UNION ALL SELECT 'ack_latency_samples_total', ceil(mine / 250.0) FROM n UNION ALL SELECT 'outbox_pending_batches', 0 UNION ALL SELECT 'snapshot_chunks_sent_total', mine // 100 + 1 FROM n UNION ALL SELECT 'snapshot_rows_received_total', mine FROM n)")
+def engine_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """What a batch applied twice, its acknowledgement and a snapshot add to the meters. A page of a poll holds 1000 rows, a batch 250."""
+    a, b = _engines(spark, d, max_batch_events=250)
+    a.capture("users", polling.Cursor())
+    pages = list(a.replay("ASIA", NOW))
+    for _ in range(2):
+        for page in pages:
+            b.apply(page)
+    for page in pages:
+        a.ack(page)
+    bootstrap(a, b, "users")
+    a.metrics()
+    names = {a: ("changefeed_events_total", "changefeed_batches_total", "ack_latency_samples_total", "outbox_pending_batches", "snapshot_chunks_sent_total"), b: ("apply_applied_total", "apply_stale_total", "snapshot_rows_received_total")}
+    return spark.createDataFrame([(n, float(e.meters.get(n))) for e, ns in names.items() for n in ns], "name string, value double")
+
+
+@_query("SELECT status, resumed, n_rows FROM (VALUES ('snapshotting', 0::BIGINT)) v(status, resumed), (SELECT count(*)::BIGINT AS n_rows FROM customer WHERE false) UNION ALL " + f"SELECT 'finished', 1, count(*) FROM ({T.sql('users')} SELECT * FROM users WHERE owner IN ('EUROPE', 'ASIA'))")
+def engine_snapshot_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot that stops after its mark, and one that goes on from the key it has reached."""
+    a, b = _engines(spark, d)
+    b.mark("users", "EUROPE", JobStatus.SNAPSHOTTING)
+    jobs_ = [(r["status"], 0, 0) for r in b.store.read("snapshot_jobs").collect()]
+    parts = a.snapshot("users")
+    rows, _, _ = next(parts)
+    b.apply_snapshot("users", "EUROPE", rows.where(F.col("_row.c_custkey") < 400), False)
+    parts.close()
+    needed = b.snapshots_needed(["EUROPE"]).first()
+    resume = b.key_values(needed["resume_pk"])
+    bootstrap(a, b, "users", resume)
+    last = b.store.read("snapshot_jobs").first()
+    jobs_.append((last["status"], int(resume[0] < 400), b.table("users").count()))
+    return spark.createDataFrame(jobs_, "status string, resumed bigint, n_rows bigint")
+
+
+@_query(f"{T.sql('payments')} SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, owner FROM payments WHERE owner = '{REGION}' AND o_orderkey % 13 > 0 AND (o_orderkey // 50) % 9 > 0 AND o_orderkey % 3 < 2")
+def engine_log(spark: SparkSession, d: str) -> DataFrame:
+    """A change log staged by transaction: inserts all come, then a third is updated and a third deleted."""
+    root = f"{work_dir(spark)}/engines-{uuid.uuid4().hex}"
+    row = _log(spark, d, "insert").schema["new"].dataType
+    spec = TableSpec("payments", ("o_orderkey",), "owner")
+    a, b = (Engine(spark, Config(r, [spec], [PeerSpec(o, "store")], apply_mode=Mode.FULL_SYNC), StateStore(spark, f"{root}/{r}"), {"payments": row}, clock=lambda: NOW) for r, o in (_SIDES, _SIDES[::-1]))
+    k = F.col("new.o_orderkey")
+    logs = [_log(spark, d, "insert"), _log(spark, d, "update").where(k % 3 == 1), _log(spark, d, "delete").where(F.col("old.o_orderkey") % 3 == 2)]
+    for n, log in enumerate(logs):
+        # versions rise from log to log: what is not past the cursor is stale
+        later = F.col("ord") + F.lit(n << 40)
+        a.capture_log(log.withColumns({"ord": later, "version": later, "tx_id": F.concat(F.lit(f"{n}-"), F.col("tx_id"))}))
+        while deliver(a, b):
+            pass
+    return b.table("payments").select("o_orderkey", "o_orderstatus", "o_totalprice", "owner")

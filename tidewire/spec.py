@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from enum import StrEnum
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BooleanType, ByteType, DataType, IntegerType, LongType, ShortType, StructType
 
 
@@ -116,3 +118,13 @@ class Config:
     active_key_id: str = "current"
     log_level: str = "info"
     log_format: str = "text"
+
+
+def columns(spark: SparkSession, tables: Iterable[TableSpec], schemas: Mapping[str, StructType]) -> DataFrame:
+    """The column catalogue: table_name, column_name, data_type, key_at (from 1, null for others), key_type."""
+    rows = []
+    for t in tables:
+        for f in schemas[t.name]:
+            at = t.primary_key.index(f.name) + 1 if f.name in t.primary_key else None
+            rows.append((t.name, f.name, f.dataType.simpleString(), at, pk_type(f.dataType) if at else None))
+    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, key_at int, key_type string")

@@ -26,7 +26,7 @@ from ..functions.keyring import KeyManager
 from ..functions.numbering import durable, number_rows, scope
 from ..operators import apply, changefeed, jobs, outbox, transform
 from ..sources import cdc, polling, snapshot
-from ..spec import Config, JobStatus, TableSpec
+from ..spec import Config, JobStatus, TableSpec, columns
 from .lease import PermanentError
 from .metrics import Meters
 from .state import GONE, Delta, StateStore
@@ -83,8 +83,7 @@ class Engine:
 
     def handshake(self) -> dict:
         """What two sides compare first: region, table names, and their columns as the version."""
-        columns = [(n, f.name, f.dataType.simpleString()) for n in self.tables for f in self.schemas[n]]
-        version = keys.handshake_version(self.spark.createDataFrame(columns, "table_name string, column_name string, data_type string")).first()[0]
+        version = keys.handshake_version(columns(self.spark, self.tables.values(), self.schemas)).first()[0]
         return {"region": self.config.region, "tables": sorted(self.tables), "version": version}
 
     # --- tables
