@@ -16,6 +16,9 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 
 
+#: On local file systems each side file with a checksum, which Parquet's pages have themselves, costs
+#: a process or two that the JVM starts to set its mode; elsewhere this says nothing.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _scopes = threading.local()
 
 
@@ -46,7 +49,7 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**PLAIN_FILES).parquet(path)
     for scope in getattr(_scopes, "open", [])[-1:]:
         scope.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
