@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, maybe_broadcast, small, stash, tidy
+from .common import components, free, maybe_broadcast, small, stash, tidy
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
 #: Words of a looked-up window, and neighbouring windows of which one is looked up.
@@ -361,13 +361,16 @@ def rest(groups: DataFrame, comp: DataFrame, sets: DataFrame, threshold: float =
 
 def classes(banded: DataFrame, threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:
     """(p, c): the class of every banded paragraph that links with a different one."""
-    groups = stash(met(banded), "met")
+    streamed = met(banded)
+    groups = stash(streamed, "met")
+    free(streamed)
     sets = stash(shingle_sets(groups, banded), "sets")
     pairs = groups.select("p", F.explode(F.array("head", "prev")).alias("q")).where("p <> q")
     pairs = pairs.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
     near = stash(verified(pairs, sets, threshold), "near")
     comp = stash(components(near).withColumnsRenamed({"node": "p", "component": "c"}), "classes")
     more = stash(rest(groups, comp, sets, threshold, cell), "more")
+    free(groups, sets, near)
     if more.isEmpty():
         return comp
     # a component's own links are kept by its members' links to its least
@@ -384,13 +387,16 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, run_words: int = RUN_
     place = (F.col("v").cast("long") * (1 << 32) + F.col("pos")).alias("at")
     shared = _shared(every.where("last is null").select("p", "doc_id", place), "p")
     shared = stash(shared.select("p", "doc_id", "at", (F.col("doc_id") > F.col("first")).alias("later")), "shared")
-    more = _later(stash(bordering(docs, shared), "bordering"), "p")
-    single = shared.where("later").select("doc_id", "at").union(more.select("doc_id", "at"))
     pos = (F.col("at") % (1 << 32)).cast("int")
-    single = single.select("doc_id", F.shiftright("at", 32).cast("int").alias("v"), pos.alias("s"), (pos + WINDOW).alias("e"))
     lines = every.where("last is not null").select("p", "doc_id", place, (F.col("last") - F.col("pos") + 1).alias("n")).join(comp, "p", "left")
     lines = _later(lines.select(F.coalesce("c", "p").alias("c"), "doc_id", "at", "n"), "c")
-    lines = lines.select("doc_id", F.shiftright("at", 32).cast("int").alias("v"), pos.alias("s"), (pos + F.col("n")).alias("e"))
+    lines = stash(lines.select("doc_id", F.shiftright("at", 32).cast("int").alias("v"), pos.alias("s"), (pos + F.col("n")).alias("e")), "lines")
+    # the largest table goes before the next are made
+    free(every)
+    near = stash(bordering(docs, shared), "bordering")
+    more = _later(near, "p")
+    single = shared.where("later").select("doc_id", "at").union(more.select("doc_id", "at"))
+    single = single.select("doc_id", F.shiftright("at", 32).cast("int").alias("v"), pos.alias("s"), (pos + WINDOW).alias("e"))
     again = single.unionByName(lines).groupBy("doc_id", "v", "s").agg(F.max("e").alias("e"))
     # a run ends where no earlier part of it reaches the next
     order = Window.partitionBy("doc_id", "v").orderBy("s")
