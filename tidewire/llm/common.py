@@ -16,8 +16,8 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 
 
-#: On local file systems each side file with a checksum, which Parquet's pages have themselves, costs
-#: a process or two that the JVM starts to set its mode; elsewhere this says nothing.
+#: On local file systems a side file with a checksum, which Parquet's pages have themselves, costs one
+#: of the three processes that the JVM starts to set modes for a file; elsewhere this says nothing.
 PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _scopes = threading.local()
 
