@@ -20,10 +20,8 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

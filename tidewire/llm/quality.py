@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, tidy
-from .textmap import Rows, labelled_sample, map_texts, sigmoid, slot
+from .textmap import Rows, labelled_sample, sigmoid, slot
 
 #: Labelled rows that a fit takes at most.
 SAMPLE = 8000
