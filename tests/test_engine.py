@@ -118,6 +118,9 @@ def test_cleanup_by_age_and_number(spark, pair):
     assert us.cleanup() == (1, 1)
     assert sorted(r["id"] for r in us.outbox().collect()) == [3, 4]
     assert us.metrics() == {"pending": 2, "oldest_age_seconds": 0.0}
+    # two of four were gone: the outbox was written anew, without them
+    assert us.store.read("outbox").count() == 2 and us.store.read("outbox_gone").isEmpty()
+    assert us.cleanup() == (0, 0) and us.outbox().count() == 2
 
 
 def test_store_commits_together_or_not_at_all(spark, tmp_path):

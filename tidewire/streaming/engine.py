@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Mapping
+from contextlib import suppress
 from datetime import UTC, datetime
 from typing import Protocol
 
@@ -29,7 +30,7 @@ from ..sources import cdc, polling, snapshot
 from ..spec import Config, JobStatus, TableSpec, columns
 from .lease import PermanentError
 from .metrics import Meters
-from .state import GONE, Delta, StateStore
+from .state import GONE, Conflict, Delta, StateStore
 
 #: Rows of a snapshot that one commit takes at least, and commits of one snapshot at most, about.
 SNAPSHOT_ROWS, SNAPSHOT_COMMITS = 1_000_000, 16
@@ -475,10 +476,12 @@ class Engine:
                 self.store.commit(append={"outbox_gone": gone})
             dead = self.store.read("outbox_gone").count()
             if dead and dead >= n_kept / 4:
-                base = self.store.version()
-                self.store.commit({"outbox": self.outbox(), "outbox_gone": self.spark.createDataFrame([], "id bigint")}, base=base)
+                with suppress(Conflict):  # batches came meanwhile: next time
+                    base = self.store.version()
+                    self.store.commit({"outbox": self.outbox(), "outbox_gone": self.spark.createDataFrame([], "id bigint")}, base=base)
         for name in self.tables:
-            self.store.compact(name)
+            with suppress(Conflict):
+                self.store.compact(name)
         by_age, by_number = pending - n_young, n_young - n_kept
         for name, n in (("", by_age + by_number), ("_by_age", by_age), ("_by_count", by_number)):
             self.meters.add(f"outbox_cleanup_deleted{name}_total", n)
