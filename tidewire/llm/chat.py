@@ -16,7 +16,8 @@ into runs, each wholly in or out of the mask.
 
 Rows: null texts and roles are empty; null turns come first; a null conv_id is
 one conversation of its own. Repeated rows and rows with the same turn are all
-kept, by role and then text. Extra columns are ignored.
+kept, by role and then text. A very long conversation is one row, which bounds
+its size. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ meets the bound of the whole (from the counts of each length, at most
 ``max_len`` numbers) or when exchange gains nothing.
 
 Rows: a null text is empty and has only the separator. Repeated rows and
-repeated ids are packed as often as they occur. An empty table gives an empty
-result. Extra columns are ignored. A document longer than ``max_len`` is cut
+repeated ids are packed as often as they occur; pieces of equal length go in the
+order of their numbers. An empty table gives an empty result. Extra columns are
+ignored. A document longer than ``max_len`` is cut
 into full pieces, its first piece taking the remainder.
 """
 

@@ -15,8 +15,10 @@ anchor returns is a spanning forest of its links, never all pairs.
 
 Rows: a null text has no words; documents without words have fingerprint zero
 and link like any other. Equal texts, repeated rows and equal fingerprints are
-one class. Rows with a null doc_id are kept; they never name a component unless
-nothing else in it has an id. Extra columns are ignored.
+one class. Very long texts are hashed in blocks; a bit that is set in exactly
+half the hashes is 0. Rows with a null doc_id are kept; they never name a
+component unless nothing else in it has an id. An empty table gives an empty
+result. Extra columns are ignored, or kept by the filter.
 """
 
 from __future__ import annotations
