@@ -221,6 +221,24 @@ def test_log_transactions_span_tables_and_are_staged_once(spark, tmp_path):
     assert [(r["id"], r["name"]) for r in eu.table("users").collect()] == [("1", "b")] and eu.table("teams").count() == 1
 
 
+def test_all_log_batches_move_in_one_round_as_if_one_after_another(spark, tmp_path):
+    row = "struct<id string, name string, owner string>"
+    log = f"tx_id string, ord bigint, version bigint, relation string, kind string, old {row}, new {row}, toast array<string>, committed boolean"
+    spec, schema = TableSpec("users", ("id",), "owner"), spark.createDataFrame([], "id string, name string, owner string").schema
+
+    def engine(region, other):
+        return Engine(spark, Config(region, [spec], [PeerSpec(other, "h")], source_type="cdc", apply_mode=Mode.FULL_SYNC), StateStore(spark, str(tmp_path / region)), {"users": schema}, clock=lambda: T0)
+
+    us, eu = engine("us", "eu"), engine("eu", "us")
+    made = [(f"0/{k}", k, k, "users", "insert", None, (str(k), "a", "us"), None, True) for k in range(1, 301)]
+    made += [("1/A", 301, 301, "users", "update", ("1", "a", "us"), ("1", "b", "us"), None, True), ("1/B", 302, 302, "users", "delete", ("2", "a", "us"), None, None, True)]
+    made += [("1/C", 303, 303, "users", "delete", ("3", "a", "us"), None, None, True), ("1/D", 304, 304, "users", "update", ("3", "a", "us"), ("3", "c", "us"), None, True)]
+    us.capture_log(spark.createDataFrame(made, log))
+    # more than a replay page holds
+    assert deliver(us, eu) == 304 and us.outbox().isEmpty()
+    assert content(eu) == sorted([("1", "b", "us"), *((str(k), "a", "us") for k in range(4, 301))])
+
+
 # --- the store
 
 

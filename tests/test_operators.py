@@ -381,3 +381,25 @@ def test_durable_tables_go_with_their_scope(spark):
             inner = numbering.durable(spark.range(2)).inputFiles()
         assert not any(os.path.exists(f.removeprefix("file://")) for f in inner) and os.path.exists(files[0].removeprefix("file://"))
     assert not os.path.exists(files[0].removeprefix("file://"))
+
+
+@pytest.mark.parametrize("mode", [Mode.FULL_SYNC, Mode.UPSERT, Mode.INSERT_ONLY])
+def test_batches_in_one_go_equal_batches_one_after_another(spark, mode):
+    rng = random.Random(11)
+    schema = "id string, name string, note string, owner string"
+    start = [(f"k{i}", "old", None, (None, "eu", "us")[i % 3]) for i in range(0, 30, 2)]
+    rows = []
+    for batch in range(8):
+        for at in range(20):
+            op = rng.choice(["insert", "update", "update", "upsert", "delete"])
+            changed = rng.choice([["id", "name"], ["id", "note"], ["id"], ["id", "name", "note", "owner"], None]) if op == "update" else ["id", "name", "note", "owner"]
+            rows.append((f"k{rng.randint(0, 29)}", rng.choice([None, f"n{batch}.{at}"]), f"t{batch}.{at}", "eu", op, 20 * batch + at + 1, (batch << 24) + at, changed, "eu"))
+    df = spark.createDataFrame(rows, schema + ", _op string, _version bigint, _ord bigint, _changed array<string>, _ignored string").drop("_ignored")
+    df = apply.passing(changefeed.to_events(df, SPEC, "eu"), mode).localCheckpoint()
+    target = spark.createDataFrame(start, schema)
+    batch = F.shiftright("_ord", 24)
+    want = target
+    for k in range(8):
+        want = apply.settle(want, df.where(batch == k), SPEC, mode).localCheckpoint()
+    got = apply.settle(target, df, SPEC, mode, batch=batch)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

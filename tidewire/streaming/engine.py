@@ -37,6 +37,8 @@ SNAPSHOT_ROWS, SNAPSHOT_COMMITS = 1_000_000, 16
 #: What an event is in a payload; the row stays text until its table is known.
 EVENT = "row string, _op string, _version bigint, _ord bigint, _peer string, _table string, _event_id string, _changed array<string>, _meta map<string,string>"
 _META = "map<string,string>"
+#: An event's place in a feed: its batch's id, then so many bits for its place in the batch.
+BATCH_BITS = 24
 
 
 class BadBatch(ValueError):
@@ -268,6 +270,10 @@ class Engine:
         """A replay page of a peer's batches, encrypted fields in the clear."""
         return self._opened(outbox.window(self.outbox(), peer, after_id, lower, upper, limit))
 
+    def pending(self, peer: str) -> DataFrame:
+        """All of a peer's batches in no order (their ids give it), encrypted fields in the clear."""
+        return self._opened(self.outbox().where(F.col("peer_region") == peer))
+
     def _opened(self, page: DataFrame) -> DataFrame:
         """Outbox rows with the outbound transformers applied to their events."""
         if not self.config.transformers:
@@ -334,7 +340,7 @@ class Engine:
         """The events of one table in feed rows, in order, encrypted with this region's keys."""
         spec = self.tables[name]
         e = batches.select("id", "tx_id", F.posexplode(F.from_json("payload", f"array<struct<{EVENT}>>")).alias("at", "e")).where(F.col("e._table") == name)
-        flat = e.select(F.from_json("e.row", self.schemas[name]).alias("_row"), F.col("e._meta").alias("_meta"), "e._op", "e._version", (F.col("id") * (1 << 24) + F.col("at")).alias("_ord"), "e._peer", "e._table", "e._event_id", "e._changed", F.col("tx_id").alias("_tx"))
+        flat = e.select(F.from_json("e.row", self.schemas[name]).alias("_row"), F.col("e._meta").alias("_meta"), "e._op", "e._version", (F.col("id") * (1 << BATCH_BITS) + F.col("at")).alias("_ord"), "e._peer", "e._table", "e._event_id", "e._changed", F.col("tx_id").alias("_tx"))
         flat = self.inbound(name, flat).drop("_meta")
         flat = flat.select("_row.*", *[c for c in flat.columns if c != "_row"])
         return flat.withColumn("_pk", keys.pk_array(spec, flat.schema))
@@ -365,8 +371,10 @@ class Engine:
         for name in sorted({t for t, _ in pairs}):
             spec = self.tables[name]
             passing = durable(apply.passing(apply.valid(self.events_of(page, name)), mode))
-            order = apply.cursor_order(passing) if self.config.source_type == "polling" else passing
-            left = durable(apply.fresh(order, cursors))
+            polled = self.config.source_type == "polling"
+            # log batches keep their order and are applied one after another
+            left = durable(apply.fresh(apply.cursor_order(passing), cursors) if polled else apply.fresh(passing, cursors, max(1, apply.BLOCK // self.config.max_batch_events) << BATCH_BITS))
+            batch = None if polled else F.shiftright("_ord", BATCH_BITS)
             n, kept = passing.count(), left.count()
             applied, stale = applied + kept, stale + n - kept
             if not kept:
@@ -374,7 +382,7 @@ class Engine:
             old = durable(self.store.near(name, self.schemas[name], left.select(*[F.col(f"`{c}`") for c in spec.primary_key]).distinct()))
             state, pending = old, sorted(p for t, p in pairs if t == name)
             for peer in pending:
-                state = apply.settle(state, left.where(F.col("_peer") == peer), spec, mode)
+                state = apply.settle(state, left.where(F.col("_peer") == peer), spec, mode, batch=batch)
             cursors = apply.save_cursors(cursors, apply.final_cursors(left))
             out[name] = self._delta(spec, old, state)
         if out:
@@ -502,9 +510,15 @@ def _payload(row: Column, meta: Column) -> Column:
 
 
 def deliver(source: Engine, target: Engine) -> int:
-    """Move one round of a peer's pending batches: serve, apply, acknowledge; returns how many."""
+    """Move one round of a peer's pending batches: serve, apply, acknowledge; returns how many.
+
+    Log batches, one a transaction or more, go all in one round, whose jobs and
+    commits are as many as a page's. Polled ones go by pages, each of which the
+    receiver puts in cursor order as a whole.
+    """
     with scope():
-        page = durable(source.serve(target.config.region))
+        region = target.config.region
+        page = durable(source.serve(region) if target.config.source_type == "polling" else source.pending(region))
         n = page.count()
         if n:
             source.ack(target.apply(page))
