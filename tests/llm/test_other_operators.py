@@ -10,6 +10,7 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -156,6 +157,25 @@ def test_beams_widen_and_audits_hold():
     assert (n <= true).all() and n.sum() >= 0.98 * true.sum() and (n[:300] == true[:300]).mean() > 0.95
 
 
+def test_a_wide_beam_takes_few_steps(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(1, 16)) + rng.normal(0, 0.1, (700, 16)), rng.normal(size=(2300, 16))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g, steps, real = Graph(x), [], np.argpartition
+    monkeypatch.setattr(np, "argpartition", lambda *a, **k: (steps.append(1), real(*a, **k))[1])
+    ids, _ = g.search(x[:50], 1024)
+    assert len(steps) < 100
+    true = np.argsort(-x[:50] @ x.T, axis=1)[:, :700]
+    assert np.mean([np.isin(t, i).mean() for t, i in zip(true, ids, strict=True)]) > 0.99
+
+
+def test_vectors_stay_as_wide_as_they_came():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 1]), pa.array([[3.0, 4.0], [1.0, 0.0]], pa.list_(pa.float32()))], names=["cid", "n", "v"])
+    shard = embeddings.Shard.load(embeddings.Shard(*embeddings._vectors(batch, 0, 2), 0.9).dump(), 0.9)
+    assert shard.v.dtype == np.float32 and shard.unit.dtype == np.float64
+    assert shard.unit[0].tolist() == [3 / 5, 4 / 5]
+
+
 # --- chat
 
 

@@ -44,7 +44,7 @@ from .common import components, maybe_broadcast, stash, tidy
 from .hnsw import Graph
 
 #: Shards at least, and classes and bytes of vectors in one at most, about: bounds a task's memory.
-SHARDS, SHARD_SIZE, SHARD_BYTES = 8, 200_000, 64 << 20
+SHARDS, SHARD_SIZE, SHARD_BYTES = 8, 260_000, 64 << 20
 #: Queries that one cell streams at most, about, and bytes of one written piece of a graph.
 CELL, PIECE = 1_000_000, 4 << 20
 BEAM, BLOCK, AUDIT, RECALL = 16, 2048, 32, 0.99
@@ -52,15 +52,27 @@ BEAM, BLOCK, AUDIT, RECALL = 16, 2048, 32, 0.99
 SLACK = 1e-4
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    """The unit vectors of rows, in double precision."""
+    v = v.astype(np.float64)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 class Shard:
     """One shard's classes, their graph, and the beam its audits have led to."""
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray, v: np.ndarray, threshold: float, graph: Graph | None = None) -> None:
         self.ids, self.counts, self.v, self.threshold, self.beam = ids, counts, v, threshold, BEAM
-        self.unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-        self.single = self.unit.astype(np.float32)
+        # vectors stay as wide as they came; those of links are made unit ones in double precision when tested
+        self.single = np.empty(v.shape, np.float32)
+        for k in range(0, len(v), BLOCK):
+            self.single[k : k + BLOCK] = _unit(v[k : k + BLOCK])
         self.graph = graph or Graph(self.single)
 
+    @property
+    def unit(self) -> np.ndarray:
+        return _unit(self.v)
+
     def dump(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, ids=self.ids, counts=self.counts, v=self.v, **self.graph.state())
@@ -102,7 +114,7 @@ class Shard:
 
     def query(self, ids: np.ndarray, v: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(query row, shard row) of all verified links of a block."""
-        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        unit = _unit(v)
         single = unit.astype(np.float32)
         audit = np.arange(len(ids)) if exact else np.flatnonzero(ids % AUDIT == 0)
         truth = self.scan(single[audit])
@@ -120,7 +132,7 @@ class Shard:
                 found[a] = t
         row = np.repeat(np.arange(len(ids)), [len(f) for f in found])
         hit = np.concatenate(found) if len(found) else np.zeros(0, np.int64)
-        real = np.concatenate([np.einsum("kd,kd->k", unit[row[k : k + 65536]], self.unit[hit[k : k + 65536]]) >= self.threshold for k in range(0, len(row), 65536)]) if len(row) else np.zeros(0, bool)
+        real = np.concatenate([np.einsum("kd,kd->k", unit[row[k : k + 65536]], _unit(self.v[hit[k : k + 65536]])) >= self.threshold for k in range(0, len(row), 65536)]) if len(row) else np.zeros(0, bool)
         real &= ids[row] != self.ids[hit]
         return row[real], hit[real]
 
@@ -188,7 +200,7 @@ def _stretches(*keys: np.ndarray) -> list[tuple[int, int]]:
 
 def _vectors(batch: pa.RecordBatch, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = batch.column("v").slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False)
-    return batch.column("cid").to_numpy()[lo:hi], batch.column("n").to_numpy()[lo:hi], flat.astype(np.float64).reshape(hi - lo, -1)
+    return batch.column("cid").to_numpy()[lo:hi], batch.column("n").to_numpy()[lo:hi], flat.reshape(hi - lo, -1)
 
 
 def _search(written: DataFrame, queries: DataFrame, shards: int, threshold: float, cells: int, exact: bool = False) -> DataFrame:
@@ -300,7 +312,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, shards: int =
     # the number of a row in the written files: fixed from here on
     classes = stash(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     size, longest = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
-    count = max(shards, math.ceil(size / min(shard_size, max(1, SHARD_BYTES // (8 * longest)))))
+    width = 4 if classes.schema["v"].dataType.elementType.typeName() == "float" else 8
+    count = max(shards, math.ceil(size / min(shard_size, max(1, SHARD_BYTES // (width * longest)))))
     # cells enough for every core, and for their number of queries
     cells = min(count, max(math.ceil(4 * embeddings.sparkSession.sparkContext.defaultParallelism / count), math.ceil(size / CELL)))
     shard = F.size("v").cast("long") * count + F.pmod(F.xxhash64("cid"), F.lit(count))

@@ -10,6 +10,8 @@ import numpy as np
 
 #: Flags of visited nodes that a search may hold at once, in bytes.
 VISITED = 32 << 20
+#: Pairs of rows that are gathered at once.
+GATHER = 2048
 
 
 class Graph:
@@ -17,6 +19,7 @@ class Graph:
 
     def __init__(self, x: np.ndarray, m: int = 12, ef: int = 40, seed: int = 5) -> None:
         self.x, self.m, self.ef, n = x, m, ef, len(x)
+        self.flags = np.zeros(0, bool)
         rng = np.random.default_rng(seed)
         self.level = np.minimum(8, (-np.log(1 - rng.random(n)) / np.log(m)).astype(np.int64))
         self.links = [np.full((n, 2 * m if level == 0 else m), -1, np.int32) for level in range(int(self.level.max(initial=0)) + 1)]
@@ -31,7 +34,7 @@ class Graph:
         return {"level": self.level, "at": np.array([self.entry, self.top, self.m, self.ef]), **{f"links{k}": x for k, x in enumerate(self.links)}}
 
     def restore(self, x: np.ndarray, state: dict[str, np.ndarray]) -> None:
-        self.x, self.level = x, state["level"]
+        self.x, self.level, self.flags = x, state["level"], np.zeros(0, bool)
         self.entry, self.top, self.m, self.ef = map(int, state["at"])
         self.links = [state[f"links{k}"] for k in range(len(state) - 2)]
 
@@ -46,47 +49,76 @@ class Graph:
             near = self._layer(q, near, 1, level)[0]
         return self._layer(q, near, ef, 0)
 
+    def _dots(self, q: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The products of the rows of q with those of x, some at a time, so that what is gathered stays in the cache."""
+        out = np.empty(len(row), np.float32)
+        for k in range(0, len(row), GATHER):
+            out[k : k + GATHER] = np.einsum("kd,kd->k", q.take(row[k : k + GATHER], axis=0), self.x.take(at[k : k + GATHER], axis=0))
+        return out
+
     def _layer(self, q: np.ndarray, start: np.ndarray, ef: int, level: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        rows, links = np.arange(len(q)), self.links[level]
+        links, n = self.links[level], len(self.x)
         ids = np.full((len(q), ef), -1, np.int64)
         sims = np.full((len(q), ef), -4.0, np.float32)
         fresh = np.zeros((len(q), ef), bool)
         k = min(ef, start.shape[1])
         ids[:, :k] = start[:, :k]
-        sims[:, :k] = np.where(start[:, :k] >= 0, np.einsum("qd,qkd->qk", q, self.x[start[:, :k]]), -4.0)
+        sims[:, :k] = np.where(start[:, :k] >= 0, self._dots(q, np.repeat(np.arange(len(q)), k), start[:, :k].ravel()).reshape(-1, k), -4.0)
         fresh[:, :k] = start[:, :k] >= 0
-        seen = np.zeros((len(q), len(self.x) + 1), bool)
-        seen[rows[:, None], ids] = True
-        seen[:, -1] = True  # what -1 points to
-        wide = min(wide, ef)
+        # one buffer of flags for all searches, of which each clears what it has set
+        if len(self.flags) < len(q) * n:
+            self.flags = np.zeros(len(q) * n, bool)
+        base = np.arange(len(q)) * n
+        touched = [(base[:, None] + ids)[ids >= 0]]
+        self.flags[touched[0]] = True
+        wide = min(max(wide, ef // 8), ef)  # a wide beam moves in as many steps as a narrow one, about
         while True:
             act = np.flatnonzero(fresh.any(1))
             if not len(act):
                 break
             best = np.where(fresh[act], sims[act], -9.0)
             pick = np.argpartition(-best, wide - 1, axis=1)[:, :wide] if wide < ef else np.broadcast_to(np.arange(ef), (len(act), ef))
-            ok = np.take_along_axis(fresh[act], pick, 1)
-            near = links[np.where(ok, np.take_along_axis(ids[act], pick, 1), 0)].astype(np.int64)
-            near = np.where(ok[:, :, None], near, -1).reshape(len(act), -1)
+            row, col = np.nonzero(np.take_along_axis(fresh[act], pick, 1))
+            near = np.full((len(act), wide, links.shape[1]), -1, np.int32)
+            near[row, col] = links[ids[act[row], pick[row, col]]]
+            near = near.reshape(len(act), -1)
             fresh[act[:, None], pick] = False
             near.sort(axis=1)
-            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-            near[seen[act[:, None], near]] = -1
-            seen[act[:, None], near] = True
-            new = np.where(near >= 0, np.einsum("qd,qkd->qk", q[act], self.x[near]), -4.0)
-            every, es = np.concatenate([ids[act], near], 1), np.concatenate([sims[act], new], 1)
-            ef_fresh = np.concatenate([fresh[act], near >= 0], 1)
+            new = near >= 0
+            new[:, 1:] &= near[:, 1:] != near[:, :-1]
+            # from here on only those that were not met before, then only those that enter the beam
+            row, col = np.nonzero(new)
+            cand = near[row, col].astype(np.int64)
+            at = base[act[row]] + cand
+            unseen = ~self.flags[at]
+            row, cand, at = row[unseen], cand[unseen], at[unseen]
+            self.flags[at] = True
+            touched.append(at)
+            s = self._dots(q, act[row], cand)
+            enter = s > sims[act].min(1)[row]
+            row, cand, s = row[enter], cand[enter], s[enter]
+            if not len(row):
+                continue
+            some, row, size = np.unique(row, return_inverse=True, return_counts=True)
+            act, place = act[some], np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            more = np.full((len(act), int(size.max())), -1, np.int64)
+            ms = np.full(more.shape, -4.0, np.float32)
+            more[row, place], ms[row, place] = cand, s
+            every, es = np.concatenate([ids[act], more], 1), np.concatenate([sims[act], ms], 1)
+            ef_fresh = np.concatenate([fresh[act], more >= 0], 1)
             keep = np.argpartition(-es, ef - 1, axis=1)[:, :ef]
             ids[act], sims[act] = np.take_along_axis(every, keep, 1), np.take_along_axis(es, keep, 1)
             fresh[act] = np.take_along_axis(ef_fresh, keep, 1) & (ids[act] >= 0)
+        for at in touched:
+            self.flags[at] = False
         order = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
     def _select(self, cand: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
         """Up to ``most`` of each row's candidates (best first): those nearer to the node than
         to any chosen before, then the best of the rest."""
-        c = self.x[cand]
-        among = np.einsum("rid,rjd->rij", c, c)
+        c = self.x.take(cand, axis=0)
+        among = c @ c.transpose(0, 2, 1)
         chosen = np.zeros(cand.shape, bool)
         for j in range(cand.shape[1]):
             clash = (chosen & (among[:, j, :] > sims[:, j, None])).any(1)
@@ -148,6 +180,6 @@ class Graph:
             cand = np.concatenate([links[e].astype(np.int64), extra[k : k + 256]], 1)
             cand.sort(axis=1)
             cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
-            sims = np.where(cand >= 0, np.einsum("qd,qkd->qk", self.x[e], self.x[cand]), -4.0)
+            sims = np.where(cand >= 0, self._dots(self.x, np.repeat(e, cand.shape[1]), cand.ravel()).reshape(cand.shape), -4.0)
             best = np.argsort(-sims, axis=1)[:, : links.shape[1] + 2 * self.m]
             links[e] = self._select(np.take_along_axis(cand, best, 1), np.take_along_axis(sims, best, 1), links.shape[1])
