@@ -75,3 +75,27 @@ def test_only_stashed_tables_are_ever_deleted(spark, tmp_path):
     assert mine.count() == 3 and not Path(kept.inputFiles()[0].removeprefix("file://")).exists()
     made = common.tidy(lambda: common.stash(mine).join(common.stash(common.stash(mine)), "id"))()
     assert made.count() == 3 and mine.count() == 3
+
+
+def test_no_process_sets_modes_of_a_stashed_tables_folders(spark):
+    from tidewire.llm import common
+
+    root = Path(common.work_dir(spark).removeprefix("file://").removeprefix("file:"))
+
+    def seen(batches):
+        for batch in batches:
+            (at,) = root.glob("modes-*")
+            yield batch.assign(mode=[p.stat().st_mode & 0o777 for p in (at, at / "_temporary", at / "_temporary/0")])
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    umask = conf.get("fs.permissions.umask-mode")
+    conf.set("fs.permissions.umask-mode", "050")  # Hadoop's processes would leave 727
+    try:
+        table = common.stash(spark.range(0, 3, 1, 1).mapInPandas(seen, "id bigint, mode bigint"), "modes")
+        got = [r["mode"] for r in table.orderBy("id").collect()]
+    finally:
+        conf.set("fs.permissions.umask-mode", umask) if umask else conf.unset("fs.permissions.umask-mode")
+    (at,) = root.glob("modes-*")
+    assert 0o727 not in got and len(got) == 3
+    assert [p.suffix for p in at.iterdir()] == [".parquet"]  # no mark, which takes a process too
+    common.free(table)

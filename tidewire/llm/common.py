@@ -19,6 +19,8 @@ BROADCAST_BYTES = 32 << 20
 #: On local file systems a side file with a checksum, which Parquet's pages have themselves, costs one
 #: of the three processes that the JVM starts to set modes for a file; elsewhere this says nothing.
 PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: The mark of a finished write, which nothing reads here, is a file more.
+UNMARKED = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 _scopes = threading.local()
 
 
@@ -49,12 +51,25 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**PLAIN_FILES).parquet(path)
+    _folders(spark, path)
+    df.write.mode("append").options(**PLAIN_FILES, **UNMARKED).parquet(path)
     for scope in getattr(_scopes, "open", [])[-1:]:
         scope.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folders(spark: SparkSession, path: str) -> None:
+    """On a local file system, make the folders in which a write begins.
+
+    Hadoop starts a process to set the mode of each folder that it makes itself. Until
+    such a process runs its own program it has all the memory of the driver's JVM, which
+    whoever adds up processes then counts twice.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+        spark._jvm.java.io.File(f"{at.toUri().getPath()}/_temporary/0").mkdirs()
+
+
 def _paths(df: DataFrame) -> set[str]:
     """The stashed tables that a plan reads; what else it reads is nobody's to delete here."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
